@@ -35,59 +35,53 @@ def stored_call_ids(tool_calls: Column) -> Column:
     return F.when(good, ids)
 
 
-def _splitter() -> Callable[[str | None], dict | None]:
-    """The helper of `provider_calls`, self-contained so that it ships by value."""
+def _splitter() -> tuple[Callable, Callable]:
+    """The helpers of `provider_calls`, self-contained so that they ship by value."""
     field = V.NATIVE_TOOL_CALLS
     blank = " \t\n\r"
 
     def refuse(name: str):
         raise ValueError(name)
 
-    def decoder() -> json.JSONDecoder:
+    def reader() -> Callable[[str, int], tuple]:
         # numbers are not needed, only where they end
-        return json.JSONDecoder(parse_constant=refuse, parse_int=len, parse_float=len)
+        return json.JSONDecoder(parse_constant=refuse, parse_int=len, parse_float=len).raw_decode
 
     def past_blanks(text: str, at: int) -> int:
         while at < len(text) and text[at] in blank:
             at += 1
         return at
 
-    def spans(text: str, opening: str, closing: str):
+    def members(text: str, opening: str, closing: str, read: Callable):
         """(key, value, raw text of the value) of each member of a JSON value."""
-        read = decoder().raw_decode
         at = past_blanks(text, 0)
         if text[at] != opening:
             raise ValueError(opening)
         at = past_blanks(text, at + 1)
-        if text[at] == closing:
-            at += 1
-        else:
-            while True:
-                key = None
-                if opening == "{":
-                    key, at = read(text, at)
-                    if not isinstance(key, str):
-                        raise ValueError("key")
-                    at = past_blanks(text, at)
-                    if text[at] != ":":
-                        raise ValueError(":")
-                    at = past_blanks(text, at + 1)
-                value, end = read(text, at)
-                yield key, value, text[at:end]
-                at = past_blanks(text, end)
-                if text[at] == closing:
-                    at += 1
-                    break
-                if text[at] != ",":
-                    raise ValueError(",")
+        more = text[at] != closing
+        while more:
+            key = None
+            if opening == "{":
+                key, at = read(text, at)
+                if not isinstance(key, str):
+                    raise ValueError("key")
+                at = past_blanks(text, at)
+                if text[at] != ":":
+                    raise ValueError(":")
+                at = past_blanks(text, at + 1)
+            value, end = read(text, at)
+            yield key, value, text[at:end]
+            at = past_blanks(text, end)
+            more = text[at] == ","
+            if more:
                 at = past_blanks(text, at + 1)
-        if past_blanks(text, at) != len(text):
-            raise ValueError("trailing text")
+        if text[at] != closing or past_blanks(text, at + 1) != len(text):
+            raise ValueError(closing)
 
-    def split(payload: str | None) -> dict | None:
+    def split(payload: str | None, read: Callable) -> dict | None:
         try:
             raw = None
-            for key, value, part in spans(payload or "", "{", "}"):
+            for key, value, part in members(payload or "", "{", "}", read):
                 if key == field:
                     raw = part if isinstance(value, list) and value else None
             if raw is None:
@@ -97,27 +91,28 @@ def _splitter() -> Callable[[str | None], dict | None]:
                     "call_id": value["id"] if isinstance(value, dict) and isinstance(value.get("id"), str) else None,
                     "entry": part,
                 }
-                for _, value, part in spans(raw, "[", "]")
+                for _, value, part in members(raw, "[", "]", read)
             ]
         except (ValueError, IndexError, RecursionError):
             return None
         return {"raw": raw, "entries": entries}
 
-    return split
+    return split, reader
 
 
 def provider_calls(payload: Column) -> Column:
     """The provider's call array of a response payload as it is stored.
 
-    struct<raw, entries: array<struct<call_id, entry>>>, NULL when the response
-    called nothing. Spark's own JSON functions write the numbers and the white
-    space anew, so the raw text is cut out in Python, batch by batch; callers
-    filter to the responses that carry calls before this runs.
+    struct<raw, entries: array<struct<call_id, entry>>>, NULL fields when the
+    response called nothing. Spark's own JSON functions write the numbers and
+    the white space anew, so the raw text is cut out in Python, batch by batch;
+    callers filter to the responses that carry calls before this runs.
     """
-    split = _splitter()
+    split, reader = _splitter()
 
     def cut(payloads: pd.Series) -> pd.DataFrame:
-        found = [split(p) for p in payloads]
+        read = reader()
+        found = [split(p, read) for p in payloads]
         return pd.DataFrame({
             "raw": [f and f["raw"] for f in found],
             "entries": [f and f["entries"] for f in found],

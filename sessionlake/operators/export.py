@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Always there, null when unknown, so that null and absent stay apart.
-NULLABLE = ("price_total",)
-
-# There only when set; everything else is always there.
+# There only when set. Everything else is always there: labels also when empty,
+# a price also when null, so that null and absent stay apart.
 OPTIONAL = ("entity_id", "group_id", "title", "summary", "active_model", "metadata",
             "tool_calls", "tool_call_id", "visibility", "parent_id", "duration_ms", "payload")
 
 
+def _is_empty(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.MapType, T.ArrayType)):
+        return F.size(c) == 0
+    if isinstance(kind, T.StringType):
+        return c == ""
+    if isinstance(kind, T.NumericType):
+        return c == 0
+    return F.lit(False)
+
+
 def _member(name: str, kind: T.DataType, optional: bool) -> Column:
     """`"name":value`, or NULL when the member is left out."""
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
         value = F.to_json(c)
     else:
@@ -25,9 +33,7 @@ def _member(name: str, kind: T.DataType, optional: bool) -> Column:
         value = F.when(c.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
     text = F.concat(F.lit(f'"{name}":'), value)
     if optional:
-        empty = c.cast("string").isin("", "0") if not isinstance(kind, (T.StructType, T.MapType, T.ArrayType)) \
-            else F.size(c) == 0
-        return F.when(~F.coalesce(empty, F.lit(True)), text)
+        return F.when(~F.coalesce(_is_empty(c, kind), F.lit(True)), text)
     return F.coalesce(text, F.lit(f'"{name}":null'))
 
 
