@@ -350,7 +350,7 @@ def currency_map(b):
 
 @query
 def by_event_type(b):
-    return breakdown.by_event_type(b.sessions, b.events, GROUP)
+    return breakdown.by_event_type(breakdown.active(b.sessions, b.events, GROUP))
 
 
 for _g in ("day", "week", "month", "year"):
@@ -413,7 +413,7 @@ def stats_after_key(b):
 
 @query
 def sample_sessions(b):
-    return breakdown.sample_sessions(b.sessions, b.events, 5, GROUP)
+    return breakdown.sample_sessions(breakdown.active(b.sessions, b.events, GROUP), 5)
 
 
 @query
@@ -566,7 +566,8 @@ def bucket_scaffold(b):
 
 def _filled(b, granularity, since, until):
     scoped = Scope(group_id="BUILDING", since=since, until=until)
-    found = buckets.bucket_report(b.sessions, b.events, granularity, scoped)
+    fine = currency.activity_by_currency(b.events, scoped, buckets.by_bucket(granularity))
+    found = buckets.bucket_report(scope.of_sessions(fine, scope.sessions_in(b.sessions, scoped)))
     done = buckets.filled(b.spark, found, since, until, granularity)
     return costs_apart(done.select("bucket", "session_count", "event_count", *stats.MEASURES, "cost_by_currency"))
 
@@ -706,7 +707,7 @@ def report_by_type(b):
 
 @query
 def report_buckets(b):
-    r = reports.event_stats(b.sessions, b.events, WINDOW, bucket="week", spark=b.spark)
+    r = reports.event_stats(b.sessions, b.events, WINDOW, bucket="week")
     cols = ["session_count", "event_count", *stats.MEASURES, "cost_usd", "cost_eur", "cost_none", "n_currencies"]
     total = costs_apart(r.totals).select(F.lit("total").alias("bucket"), *cols)
     return total.unionByName(costs_apart(r.time_buckets).select("bucket", *cols))

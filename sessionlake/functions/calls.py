@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,12 +27,17 @@ def stored_call_ids(tool_calls: Column) -> Column:
     text = trimmed(tool_calls)
     array = text.startswith("[") & text.endswith("]")
     # a variant keeps the type of the id apart from its text
-    calls = F.when(array, F.from_json(text, "array<struct<id:variant>>"))
-    ids = F.transform(calls, lambda c: F.when(
+    stored = F.when(array, F.from_json(text, "array<struct<id:variant>>"))
+    ids = F.transform(stored, lambda c: F.when(
         F.schema_of_variant(c["id"]) == "STRING", F.try_variant_get(c["id"], "$", "string")
     ))
-    good = (F.size(ids) > 0) & F.forall(ids, lambda i: F.coalesce(i != "", F.lit(False)))
-    return F.when(good, ids)
+
+    def all_or_none(found: Column) -> Column:
+        good = (F.size(found) > 0) & F.forall(found, lambda i: F.coalesce(i != "", F.lit(False)))
+        return F.when(good, found)
+
+    # through an array of one, so that the JSON is parsed once
+    return F.transform(F.array(ids), all_or_none)[0]
 
 
 def _splitter() -> tuple[Callable, Callable]:
@@ -103,20 +108,19 @@ def _splitter() -> tuple[Callable, Callable]:
 def provider_calls(payload: Column) -> Column:
     """The provider's call array of a response payload as it is stored.
 
-    struct<raw, entries: array<struct<call_id, entry>>>, NULL fields when the
-    response called nothing. Spark's own JSON functions write the numbers and
+    struct<raw, entries: array<struct<call_id, entry>>>, NULL when the response
+    called nothing. Spark's own JSON functions write the numbers and
     the white space anew, so the raw text is cut out in Python, batch by batch;
     callers filter to the responses that carry calls before this runs.
     """
     split, reader = _splitter()
+    entry = pa.struct([("call_id", pa.string()), ("entry", pa.string())])
+    calls = pa.struct([("raw", pa.string()), ("entries", pa.list_(entry))])
 
-    def cut(payloads: pd.Series) -> pd.DataFrame:
+    def cut(payloads: pa.Array) -> pa.Array:
         read = reader()
-        found = [split(p, read) for p in payloads]
-        return pd.DataFrame({
-            "raw": [f and f["raw"] for f in found],
-            "entries": [f and f["entries"] for f in found],
-        })
+        return pa.array([split(p, read) for p in payloads.to_pylist()], calls)
 
     kind = "raw string, entries array<struct<call_id: string, entry: string>>"
-    return F.pandas_udf(cut, kind)(payload)
+    # declared so that no filter or projection is given a second evaluation
+    return F.arrow_udf(cut, kind).asNondeterministic()(payload)

@@ -10,19 +10,20 @@ from sessionlake.operators.stats import last_activity
 from sessionlake.vocabulary import MAX_SAMPLE_SESSIONS
 
 
-def _active(sessions: DataFrame, events: DataFrame, scope: Scope) -> DataFrame:
+def active(sessions: DataFrame, events: DataFrame, scope: Scope = ALL) -> DataFrame:
+    """Events and latest time per type and known session."""
     return of_sessions(last_activity(events, scope), sessions_in(sessions, scope))
 
 
-def by_event_type(sessions: DataFrame, events: DataFrame, scope: Scope = ALL) -> DataFrame:
+def by_event_type(active_sessions: DataFrame) -> DataFrame:
     """Count per type, and its place: most frequent first, then by name."""
-    counts = _active(sessions, events, scope).groupBy("event_type").agg(F.sum("event_count").alias("event_count"))
+    counts = active_sessions.groupBy("event_type").agg(F.sum("event_count").alias("event_count"))
     # one row per event type is left here
     place = Window.orderBy(F.desc("event_count"), F.asc_nulls_first("event_type"))
     return counts.withColumn("pos", F.row_number().over(place))
 
 
-def sample_sessions(sessions: DataFrame, events: DataFrame, n: int, scope: Scope = ALL) -> DataFrame:
+def sample_sessions(active_sessions: DataFrame, n: int) -> DataFrame:
     """Per type, the n sessions active last; on a tie the smaller id first.
 
     Ranks sessions, not events, and each task keeps n per type before the
@@ -32,7 +33,7 @@ def sample_sessions(sessions: DataFrame, events: DataFrame, n: int, scope: Scope
         raise ValueError(f"sample_sessions: must be in 1..{MAX_SAMPLE_SESSIONS}")
     latest = Window.partitionBy("event_type").orderBy(F.desc_nulls_last("last_ts"), F.asc("session_id"))
     return (
-        _active(sessions, events, scope)
+        active_sessions
         .withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= n)
         .select("event_type", "rank", "session_id", "last_ts")
     )

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.times import bucket_key, bucket_scaffold, check_bucket_window
-from sessionlake.operators.currency import activity_by_currency, currency_map, or_empty
-from sessionlake.operators.scope import ALL, Scope, of_sessions, sessions_in
+from sessionlake.operators.currency import currency_map, or_empty
+from sessionlake.operators.scope import ALL, Scope
 from sessionlake.operators.stats import scoped_activity, summed, zero_filled
 
 
@@ -39,9 +39,9 @@ def rolled_up(sessions: DataFrame, events: DataFrame, granularity: str, scope: S
     )
 
 
-def bucket_report(sessions: DataFrame, events: DataFrame, granularity: str, scope: Scope) -> DataFrame:
-    """Buckets with their currency map, from one scan of the events."""
-    fine = of_sessions(activity_by_currency(events, scope, by_bucket(granularity)), sessions_in(sessions, scope))
+def bucket_report(fine: DataFrame) -> DataFrame:
+    """Buckets with their currency map, from the measures per session, bucket
+    and currency."""
     costs = F.col("cost_input_total") + F.col("cost_output_total")
     per_currency = fine.groupBy("bucket", "currency").agg(*summed())
     mapped = per_currency.groupBy("bucket").agg(
@@ -49,7 +49,7 @@ def bucket_report(sessions: DataFrame, events: DataFrame, granularity: str, scop
     )
     # a session has one row per currency here, so its buckets are counted apart
     present = (
-        fine.groupBy("session_id", "bucket").agg(F.lit(1).alias("_one"))
+        fine.select("session_id", "bucket").distinct()
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("session_count"))
     )
     return mapped.join(present, "bucket")

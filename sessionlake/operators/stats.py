@@ -54,7 +54,7 @@ def measures() -> list[Column]:
     ]
 
 
-def summed(prefix: str = "") -> list[Column]:
+def summed() -> list[Column]:
     """The measures summed again from a finer table."""
     whole = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in (*COUNTS, *TOKENS, "event_count")]
     cost = [F.coalesce(F.sum(c), F.lit(0)).cast(MONEY_SUM).alias(c) for c in COSTS]
@@ -74,9 +74,11 @@ def published(df: DataFrame) -> DataFrame:
 
 
 def activity(events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None) -> DataFrame:
-    """The measures per session and, with `by`, per further key."""
+    """The measures per session and, with `by`, per further key; and the
+    latest event's time."""
     keys = [c.alias(n) for n, c in (by or {}).items()]
-    return with_payload(events_in(events, scope)).groupBy("session_id", *keys).agg(*measures())
+    found = with_payload(events_in(events, scope))
+    return found.groupBy("session_id", *keys).agg(*measures(), F.max("ts").alias("last_ts"))
 
 
 def session_stats(sessions: DataFrame, events: DataFrame, scope: Scope = ALL) -> DataFrame:
@@ -87,7 +89,7 @@ def session_stats(sessions: DataFrame, events: DataFrame, scope: Scope = ALL) ->
     how = "inner" if scope.filters_events else "left"
     s = sessions_in(sessions, scope)
     a = activity(events, scope)
-    return zero_filled(s.join(a, s["id"] == a["session_id"], how).drop("session_id"))
+    return zero_filled(s.join(a, s["id"] == a["session_id"], how).drop("session_id", "last_ts"))
 
 
 def totals(stats: DataFrame) -> DataFrame:
@@ -98,7 +100,8 @@ def totals(stats: DataFrame) -> DataFrame:
 def scoped_activity(
     sessions: DataFrame, events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None
 ) -> DataFrame:
-    """`activity` of known sessions only; the join sees sums, not events."""
+    """`activity` of known sessions only. The join follows the sums unless the
+    sessions are few enough to broadcast; then Spark moves it before them."""
     return of_sessions(activity(events, scope, by), sessions_in(sessions, scope))
 
 

@@ -32,7 +32,6 @@ def call_entries(events: DataFrame) -> DataFrame:
     ).where(F.contains("payload", F.lit(V.NATIVE_TOOL_CALLS)))
     return (
         carrying.select("session_id", F.col("id").alias("response_id"), provider_calls(F.col("payload")).alias("c"))
-        .where(F.col("c.entries").isNotNull())
         .select("session_id", "response_id", "c.raw", F.size("c.entries").alias("n_entries"), F.posexplode("c.entries"))
         .select(
             "session_id", "response_id", F.col("pos").alias("idx"), "n_entries",
@@ -47,7 +46,6 @@ def message_calls(messages: DataFrame) -> DataFrame:
     return (
         messages.where((F.col("role") == "assistant") & F.col("tool_calls").isNotNull())
         .select("session_id", "seq", stored_call_ids(F.col("tool_calls")).alias("ids"))
-        .where(F.col("ids").isNotNull())
         .select("session_id", "seq", F.size("ids").alias("n_ids"), F.posexplode("ids").alias("ord", "call_id"))
     )
 

@@ -6,14 +6,14 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.payload import metadata_map
 from sessionlake.functions.times import check_bucket_window
 from sessionlake.operators.breakdown import by_event_type, sample_sessions, with_samples
 from sessionlake.operators.budget import budget_balance
-from sessionlake.operators.buckets import bucket_report, filled
+from sessionlake.operators.buckets import bucket_report, by_bucket, filled
 from sessionlake.operators.currency import activity_by_currency, currency_map, or_empty, with_costs
 from sessionlake.operators.events import event_rows, newest_events, session_rows
 from sessionlake.operators.ordered import pinned
@@ -23,6 +23,10 @@ from sessionlake.operators.stats import published, totals, zero_filled
 from sessionlake.operators.transcript import transcript
 
 
+def _kept(df: DataFrame, keep: bool) -> DataFrame:
+    return pinned(df) if keep else df
+
+
 def _with_stats(sessions: DataFrame, fine: DataFrame, scope: Scope) -> DataFrame:
     """Sessions in scope with their measures and currency map."""
     how = "inner" if scope.filters_events else "left"
@@ -49,16 +53,15 @@ class SessionList:
 
 def session_list(
     sessions: DataFrame, events: DataFrame, scope: Scope = ALL, *, sort: str = "created_at",
-    direction: str = "desc", after_row: tuple | None = None, n: int | None = None, keep: bool = False,
+    direction: str = "desc", after_row: tuple | None = None, n: int | None = None, keep: bool = True,
 ) -> SessionList:
     """One page of sessions with their statistics, and totals over all of them.
 
-    Both are computed from one table per session and currency. With `keep` it
-    is stored first, so that reading rows and totals apart scans the events once.
+    Both come from one table per session and currency. It is written to the
+    shared folder, so that the events are scanned once; without `keep` each of
+    the two results scans them for itself.
     """
-    fine = activity_by_currency(events, scope)
-    if keep:
-        fine = pinned(fine)
+    fine = _kept(activity_by_currency(events, scope), keep)
     stats = _with_stats(sessions, fine, scope)
     listed = after(stats, sort, direction, *after_row) if after_row else stats
     page = page_rows(listed, sort, direction, n)
@@ -114,9 +117,13 @@ class EventStats:
 
 def event_stats(
     sessions: DataFrame, events: DataFrame, scope: Scope = ALL, *, by_type: bool = False,
-    samples: int = 0, bucket: str = "", spark: SparkSession | None = None, keep: bool = False,
+    samples: int = 0, bucket: str = "", keep: bool = True,
 ) -> EventStats:
-    """Totals over events, and one breakdown of them: by type or by time."""
+    """Totals over events, and one breakdown of them: by type or by time.
+
+    All come from one table per session, currency and type or bucket; `keep` as
+    in `session_list`.
+    """
     if by_type and scope.event_type:
         raise ValueError("event_type and by_type are mutually exclusive")
     if samples and not by_type:
@@ -125,19 +132,19 @@ def event_stats(
         raise ValueError("bucket cannot be combined with by_type")
     if bucket:
         check_bucket_window(scope.since, scope.until, bucket)
-    fine = activity_by_currency(events, scope)
-    if keep:
-        fine = pinned(fine)
+    by = {"event_type": F.col("event_type")} if by_type else by_bucket(bucket) if bucket else {}
+    fine = _kept(activity_by_currency(events, scope, by), keep)
     total = published(_with_total_costs(totals(_with_stats(sessions, fine, scope)), fine, sessions, scope))
+    known = of_sessions(fine, sessions_in(sessions, scope))
     if bucket:
-        found = bucket_report(sessions, events, bucket, scope)
-        session = spark or events.sparkSession
-        return EventStats(total, time_buckets=published(filled(session, found, scope.since, scope.until, bucket)))
+        series = filled(events.sparkSession, bucket_report(known), scope.since, scope.until, bucket)
+        return EventStats(total, time_buckets=published(series))
     if not by_type:
         return EventStats(total)
-    types = by_event_type(sessions, events, scope)
+    types = by_event_type(known)
     if samples:
-        types = with_samples(types, sample_sessions(sessions, events, samples, scope))
+        latest = known.groupBy("event_type", "session_id").agg(F.max("last_ts").alias("last_ts"))
+        types = with_samples(types, sample_sessions(latest, samples))
     return EventStats(total, by_event_type=types)
 
 
