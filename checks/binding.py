@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.operators.ordered import running
+from sessionlake.session import configure
 
 DAY = 86400
 SESSIONS_FROM = 1701388800  # 2023-12-01T00:00:00Z
@@ -38,8 +39,7 @@ class Bound:
     """The logical tables of one folder of given tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark = spark
+        self.spark = configure(spark)
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Time stamps, time windows and bucket keys. All times are UTC instants: run
-with `spark.sql.session.timeZone` set to UTC."""
+"""Time stamps, time windows and bucket keys. All times are UTC instants; the
+session's time zone must be UTC, as `sessionlake.session` sets it."""
 
 from __future__ import annotations
 

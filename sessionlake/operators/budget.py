@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions.payload import MONEY, money
 from sessionlake.functions.text import trim
 from sessionlake.functions.times import instant, instant_literal
+from sessionlake.operators.ordered import running
 from sessionlake.sources.schema import require_columns
 from sessionlake.vocabulary import DEFAULT_BUDGET_KIND
 
@@ -63,39 +64,38 @@ def budget_of(usage: DataFrame, group_id: str, since: str | datetime, kinds: str
     )
 
 
-def budget_usage(usage: DataFrame, rules: DataFrame) -> DataFrame:
+def budget_usage(usage: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataFrame:
     """Evaluate many rules at once.
 
     `rules`: rule_id, group_id, entity_id (NULL for the whole group), kinds
-    (array, empty for chat), since, max_price. Usage is first summed between
-    the times at which the group's rules begin, so rules multiply those sums
-    and not the usage rows.
+    (array, empty for chat), since, max_price. Usage and rule starts are put on
+    one time line per group, entity and kind, and summed from its end: the sum
+    at a rule's start is what the rule has used. No rule meets a usage row, so
+    many rules on a busy group cost no more than their own rows.
     """
-    kinds = F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.array(F.lit(DEFAULT_BUDGET_KIND)))
-    r = rules.withColumn("kinds", kinds)
-    starts = r.groupBy("group_id").agg(F.array_sort(F.collect_set("since")).alias("starts"))
-
-    def interval(at):
-        return F.size(F.filter("starts", lambda s: s <= at))
-
-    sums = (
-        _priced(usage).join(starts, "group_id")
-        .withColumn("interval", interval(F.col("created_at"))).where(F.col("interval") > 0)
-        .groupBy("group_id", "entity_id", "interaction_kind", "interval").agg(F.sum("price").alias("price"))
-    )
-    ruled = r.join(starts, "group_id").select(
-        "rule_id", "group_id", F.col("entity_id").alias("_entity"), "kinds", interval(F.col("since")).alias("_from")
+    kinds = F.when(F.size("kinds") > 0, F.array_distinct("kinds")).otherwise(F.array(F.lit(DEFAULT_BUDGET_KIND)))
+    line = ["group_id", "whole_group", "entity", "kind"]
+    starts = rules.select(
+        "group_id", F.col("entity_id").isNull().alias("whole_group"), F.coalesce("entity_id", F.lit("")).alias("entity"),
+        F.explode(kinds).alias("kind"), F.col("since").alias("at"), F.lit(0).alias("is_usage"), "rule_id",
     )
-    used = (
-        ruled.join(sums, "group_id")
-        .where(
-            (F.col("interval") >= F.col("_from"))
-            & F.array_contains("kinds", F.col("interaction_kind"))
-            & (F.col("_entity").isNull() | (F.col("_entity") == F.col("entity_id")))
+    spent = (
+        _priced(usage).join(rules.select("group_id").distinct(), "group_id", "left_semi")
+        # once for the rules of the entity, once for those of its group
+        .withColumn("whole_group", F.explode(F.array(F.lit(False), F.lit(True))))
+        .groupBy(
+            "group_id", "whole_group", F.when(F.col("whole_group"), "").otherwise(F.col("entity_id")).alias("entity"),
+            F.col("interaction_kind").alias("kind"), F.col("created_at").alias("at"),
         )
-        .groupBy("rule_id").agg(F.sum("price").alias("price"))
+        .agg(F.sum("price").alias("price"))
+        .withColumn("is_usage", F.lit(1))
     )
-    return r.join(used, "rule_id", "left").select(
-        "rule_id", "group_id", "entity_id", F.coalesce("price", F.lit(0)).alias("price_total"), "max_price",
-        (F.coalesce("price", F.lit(0)) >= F.col("max_price")).alias("is_used_up"),
+    both = spent.unionByName(starts, allowMissingColumns=True)
+    # from the latest on; usage at the very time a rule starts is before it here, so it counts
+    summed = running(both, line, ["at", "is_usage", "rule_id"], sums={"used": F.coalesce("price", F.lit(0).cast(MONEY))},
+                     descending=True, ranges=ranges)
+    used = summed.where(F.col("is_usage") == 0).groupBy("rule_id").agg(F.sum("used").alias("used"))
+    return rules.join(used, "rule_id").select(
+        "rule_id", "group_id", "entity_id", F.col("used").alias("price_total"), "max_price",
+        (F.col("used") >= F.col("max_price")).alias("is_used_up"),
     )

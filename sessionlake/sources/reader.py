@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlake.functions.times import rfc3339
+from sessionlake.session import configure
 from sessionlake.sources.schema import SESSION_LABELS, TABLES, require_columns, text_schema
 
 
@@ -91,6 +92,7 @@ class Model:
 def read_model(spark: SparkSession, store: FileStore | JdbcStore) -> Model:
     """Read all tables of a store. Fails when the sessions table lacks a label
     column; a usage table without prices blocks only the budget report."""
+    configure(spark)
     tables = {name: typed(store.read(spark, name), name) for name in TABLES}
     require_columns(tables["sessions"], "sessions", SESSION_LABELS)
     return Model(**tables)
