@@ -75,9 +75,9 @@ class Bound:
     def bind_events(self, given: DataFrame, calls: bool = False) -> DataFrame:
         """The event log. With `calls`, `given` also carries r, the rank of a
         response in its session, and before_id, the session's previous event."""
-        k = F.get_json_object("props", "$.k").cast("int")
-        kind = F.col("event_type")
-        user = F.col("user_id")
+        # a step of its own, so that the JSON is parsed once for all its uses
+        given = given.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+        k, kind, user = F.col("_k"), F.col("event_type"), F.col("user_id")
         event_type = _case(
             (kind == "purchase", F.lit("llm_response")), (kind == "click", F.lit("tool_call_result")),
             (kind == "error", F.lit("llm_error")),
@@ -187,3 +187,27 @@ class Bound:
             F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"),
             F.col("o_orderdate").cast("timestamp").alias("created_at"),
         )
+
+    @property
+    def star_sessions(self) -> DataFrame:
+        """Orders as sessions: the largest join the given tables have."""
+        return self.table("orders").select(
+            F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("entity_id"),
+            F.col("o_orderpriority").alias("group_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+            F.lit("chat").alias("interaction_kind"),
+        )
+
+    @property
+    def star_events(self) -> DataFrame:
+        """Lineitems as the events of their order."""
+        flag = F.col("l_returnflag")
+        return self.table("lineitem").select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").cast("string").alias("session_id"),
+            F.col("l_linenumber").cast("bigint").alias("seq"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+            _case((flag == "R", F.lit("llm_response")), (flag == "A", F.lit("tool_call_result")),
+                  default=F.lit("retry")).alias("event_type"),
+            F.to_json(F.struct(
+                F.col("l_quantity").cast("int").alias("tokens_in"), F.col("l_extendedprice").alias("cost_input"),
+                F.col("l_discount").alias("cost_output"), F.when(F.col("l_linenumber") == 1, 0.5).alias("price"),
+            )).alias("payload"),
+        )

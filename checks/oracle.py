@@ -300,6 +300,15 @@ sql("agg_cost", "ev", """
 sql("agg_price", "ev", "SELECT session_id, CAST(SUM(price) AS DOUBLE) AS price_total FROM ev GROUP BY session_id")
 sql("session_stats", "sess ev", f"SELECT s.id, {STATS} {LEFT} GROUP BY s.id")
 sql("session_stats_window", "sess ev", f"SELECT s.id, {STATS} {LEFT} WHERE {GROUP} AND {WINDOW} GROUP BY s.id")
+sql("session_stats_star", "", f"""
+    SELECT CAST(o.o_orderkey AS VARCHAR) AS id, {STATS} FROM orders o LEFT JOIN (
+        SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 'llm_response' WHEN 'A' THEN 'tool_call_result' END AS event_type,
+            l_returnflag = 'R' AS llm, CASE WHEN llm THEN CAST(l_quantity AS BIGINT) END AS tokens_in, 0 AS tokens_out,
+            0 AS cache_write, 0 AS cache_read, CASE WHEN llm THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS cost_in,
+            CASE WHEN llm THEN CAST(l_discount AS DECIMAL(18,2)) END AS cost_out,
+            CASE WHEN llm AND l_linenumber = 1 THEN CAST(0.5 AS DECIMAL(18,2)) END AS price
+        FROM lineitem) e ON e.l_orderkey = o.o_orderkey
+    GROUP BY o.o_orderkey""")
 sql("session_totals", "sess ev", f"SELECT COUNT(DISTINCT s.id) AS session_count, {STATS} {LEFT} WHERE {GROUP}")
 sql("event_totals", "sess ev", f"SELECT {COUNTS}, {STATS} {LEFT} WHERE {WINDOW}")
 sql("event_totals_by_filter_type", "sess ev", f"""

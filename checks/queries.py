@@ -311,6 +311,11 @@ def session_stats_window(b):
     return _measures(stats.session_stats(b.sessions, b.events, GROUP_WINDOW), "id")
 
 
+@query
+def session_stats_star(b):
+    return _measures(stats.session_stats(b.star_sessions, b.star_events), "id")
+
+
 @query
 def session_totals(b):
     return _measures(stats.totals(stats.session_stats(b.sessions, b.events, GROUP)), "session_count")
