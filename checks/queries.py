@@ -488,7 +488,7 @@ def page_index(b):
 @query
 def events_page(b):
     bound = times.instant_literal(times.instant(UNTIL))
-    return events.newest_events(b.events, b.sessions, GROUP, n=200, after=(bound, "")).select(
+    return events.newest_events(b.events, b.sessions, GROUP, n=200, after=(bound, F.lit(""))).select(
         "pos", "id", "session_id", "seq", "ts", "event_type", "is_boundary")
 
 

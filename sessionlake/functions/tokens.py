@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 DEFAULT_SORT = ("created_at", "desc")
 
 
+def _encoded(*parts: Column) -> Column:
+    raw = F.concat_ws("|", *parts)
+    return F.rtrim(F.translate(F.base64(F.encode(raw, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+
+
 def page_token(sort: str, direction: str, value: Column, row_id: Column) -> Column:
-    raw = F.concat_ws("|", F.lit(sort), F.lit(direction), value, row_id)
-    encoded = F.translate(F.base64(F.encode(raw, "UTF-8")), "+/\r\n", "-_")
-    return F.rtrim(encoded, F.lit("="))
+    return _encoded(F.lit(sort), F.lit(direction), value, row_id)
+
+
+def event_token(ts_text: Column, row_id: Column) -> Column:
+    """An event list has one order, so its token is `ts|id`."""
+    return _encoded(ts_text, row_id)
 
 
 def decoded_token(token: Column, sort: str, direction: str) -> Column:
@@ -49,15 +57,19 @@ def encode_token(sort: str, direction: str, value: str, row_id: str) -> str:
     return base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
 
 
-def decode_token(token: str, sort: str, direction: str) -> tuple[str, str] | None:
-    """(value, id) of a token, None for the first page."""
-    if not token:
-        return None
+def _fields(token: str, most: int) -> list[str]:
     try:
         raw = base64.b64decode(token + "=" * (-len(token) % 4), altchars=b"-_", validate=True).decode()
     except (binascii.Error, UnicodeDecodeError) as e:
         raise ValueError("page token: invalid encoding") from e
-    parts = raw.split("|", 3)
+    return raw.split("|", most - 1)
+
+
+def decode_token(token: str, sort: str, direction: str) -> tuple[str, str] | None:
+    """(value, id) of a token, None for the first page."""
+    if not token:
+        return None
+    parts = _fields(token, 4)
     if len(parts) == 2:
         parts = [*DEFAULT_SORT, *parts]
     if len(parts) != 4:
@@ -65,3 +77,13 @@ def decode_token(token: str, sort: str, direction: str) -> tuple[str, str] | Non
     if (parts[0], parts[1]) != (sort, direction):
         raise ValueError(f"page token: order {parts[0]}/{parts[1]} does not match {sort}/{direction}")
     return parts[2], parts[3]
+
+
+def decode_event_token(token: str) -> tuple[str, str] | None:
+    """(ts, id) of an event list's token, None for the first page."""
+    if not token:
+        return None
+    parts = _fields(token, 2)
+    if len(parts) != 2:
+        raise ValueError("page token: malformed")
+    return parts[0], parts[1]

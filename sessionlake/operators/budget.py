@@ -80,14 +80,14 @@ def budget_usage(usage: DataFrame, rules: DataFrame, ranges: int | None = None)
         F.explode(kinds).alias("kind"), F.col("since").alias("at"), F.lit(0).alias("is_usage"), "rule_id",
     )
     spent = (
-        _priced(usage).join(rules.select("group_id").distinct(), "group_id", "left_semi")
         # once for the rules of the entity, once for those of its group
-        .withColumn("whole_group", F.explode(F.array(F.lit(False), F.lit(True))))
+        _priced(usage).withColumn("whole_group", F.explode(F.array(F.lit(False), F.lit(True))))
         .groupBy(
             "group_id", "whole_group", F.when(F.col("whole_group"), "").otherwise(F.col("entity_id")).alias("entity"),
             F.col("interaction_kind").alias("kind"), F.col("created_at").alias("at"),
         )
         .agg(F.sum("price").alias("price"))
+        .join(rules.select("group_id").distinct(), "group_id", "left_semi")
         .withColumn("is_usage", F.lit(1))
     )
     both = spent.unionByName(starts, allowMissingColumns=True)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.operators.paging import after_key, check_limit
-from sessionlake.operators.scope import events_scoped, Scope
+from sessionlake.functions.tokens import decode_event_token, event_token
+from sessionlake.operators.paging import TIME_TEXT, Page, after_key, check_limit
+from sessionlake.operators.scope import Scope, events_scoped
 
 EVENT_COLUMNS = ("id", "session_id", "seq", "ts", "event_type", "parent_id", "duration_ms")
 
@@ -31,13 +32,14 @@ def session_rows(sessions: DataFrame) -> DataFrame:
 
 def newest_events(
     events: DataFrame, sessions: DataFrame, scope: Scope, *, n: int | None = None,
-    after: tuple | None = None, include_payload: bool = True,
+    after: tuple[Column, Column] | None = None, include_payload: bool = True,
 ) -> DataFrame:
-    """The n latest events behind `after` = (ts, id), and the page boundary."""
+    """The n latest events behind `after`, the columns (ts, id) of a boundary;
+    `is_boundary` marks the next one."""
     n = check_limit(n)
     found = events_scoped(events, sessions, scope)
     if after is not None:
-        found = found.where(after_key(F.col("ts"), F.col("id"), F.lit(after[0]), F.lit(after[1]), "desc"))
+        found = found.where(after_key(F.col("ts"), F.col("id"), after[0], after[1], "desc"))
     order = [F.col("ts").desc_nulls_last(), F.desc("id")]
     probe = event_rows(found, include_payload).orderBy(*order).limit(n + 1)
     return (
@@ -51,12 +53,27 @@ def newest_events(
     )
 
 
+def event_page(
+    events: DataFrame, sessions: DataFrame, scope: Scope, token: str = "", n: int | None = None,
+    include_payload: bool = True,
+) -> Page:
+    """One page on the driver: at most 200 events, and the token of the next."""
+    behind = decode_event_token(token)
+    after = (F.lit(behind[0]).cast("timestamp"), F.lit(behind[1])) if behind else None
+    found = newest_events(events, sessions, scope, n=n, after=after, include_payload=include_payload)
+    rows = found.withColumn("_token", event_token(F.date_format("ts", TIME_TEXT), F.col("id"))).orderBy("pos").collect()
+    return Page(rows, next((r["_token"] for r in rows if r["is_boundary"]), ""))
+
+
 def after_seq(events: DataFrame, positions: DataFrame) -> DataFrame:
     """Events behind the position each session was read to; a session without
-    a position is not asked for. `positions`: session_id, since_seq."""
-    return (
-        events.join(positions, "session_id").where(F.col("seq") > F.col("since_seq")).drop("since_seq")
-    )
+    a position is not asked for. `positions`: session_id, since_seq from 0.
+
+    A session too heavy for one task is split by Spark's skew join, see
+    `sessionlake.session`.
+    """
+    asked = positions.where(F.col("since_seq") >= 0).select("session_id", "since_seq")
+    return events.join(asked, "session_id").where(F.col("seq") > F.col("since_seq")).drop("since_seq")
 
 
 def tail(events: DataFrame, positions: DataFrame, n: int | None = None, include_payload: bool = True) -> DataFrame:
@@ -69,7 +86,8 @@ def tail(events: DataFrame, positions: DataFrame, n: int | None = None, include_
 
 
 def presence(positions: DataFrame, sessions: DataFrame, events: DataFrame) -> DataFrame:
-    """Whether each asked-for session is unknown, caught up, or has new rows."""
+    """Whether each asked-for session is unknown, caught up, or has new rows;
+    a position below 0 is invalid."""
     new = after_seq(events, positions).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_new"))
     known = sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("_known"))
     return (
@@ -77,7 +95,8 @@ def presence(positions: DataFrame, sessions: DataFrame, events: DataFrame) -> Da
         .select(
             "session_id", "since_seq",
             F.coalesce("n_new", F.lit(0)).alias("n_new"),
-            F.when(F.col("_known").isNull(), "unknown")
+            F.when(F.col("since_seq") < 0, "invalid")
+            .when(F.col("_known").isNull(), "unknown")
             .when(F.col("n_new").isNull(), "caught_up").otherwise("has_rows").alias("state"),
         )
     )

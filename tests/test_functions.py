@@ -2,6 +2,8 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sessionlake.functions import calls, payload, text, times, tokens
@@ -136,6 +138,28 @@ def test_provider_calls_that_are_none(spark):
     assert apply(spark, calls.provider_calls, docs) == [None] * len(docs)
 
 
+SPACE = st.sampled_from(["", " ", "\n\t", "  "])
+LEAF = st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=6)
+VALUE = st.recursive(LEAF, lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text(max_size=4), v, max_size=3), max_leaves=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(VALUE, min_size=1, max_size=4), st.dictionaries(st.text(max_size=5), VALUE, max_size=3), SPACE, SPACE, st.booleans())
+def test_cutting_out_calls_keeps_their_text(entries, others, before, after, ascii_only):
+    """On any JSON, the cut text is the text that was put in."""
+    split, reader = calls._splitter()
+    dump = lambda v: json.dumps(v, ensure_ascii=ascii_only)
+    texts = [dump(x) for x in entries]
+    raw = "[" + before + (after + "," + before).join(texts) + after + "]"
+    others.pop("native_tool_calls_raw", None)
+    members = [f"{before}{dump(k)}{after}:{before}{dump(v)}" for k, v in others.items()]
+    members.append(f'"native_tool_calls_raw"{before}:{after}{raw}{before}')
+    found = split("{" + ",".join(members) + after + "}" + before, reader())
+    assert found["raw"] == raw and [e["entry"] for e in found["entries"]] == texts
+    ids = [x.get("id") if isinstance(x, dict) and isinstance(x.get("id"), str) else None for x in entries]
+    assert [e["call_id"] for e in found["entries"]] == ids
+
+
 def test_error_text(spark):
     doc = lambda s: json.dumps({"response_body_excerpt": s}, ensure_ascii=False)
     fallback = "[LLM error] The request could not be completed."

@@ -86,16 +86,18 @@ def test_top_lists_are_taken_without_a_full_sort(listed):
 
 def test_events_newest_first_page_by_page(listed):
     _, s, e = listed
-    seen, after = [], None
+    seen, token, pages = [], "", 0
     while True:
-        page = ev.newest_events(e, s, ALL, n=50, after=after, include_payload=False).orderBy("pos").collect()
-        seen += [(r["ts"], r["id"]) for r in page]
-        last = next((r for r in page if r["is_boundary"]), None)
-        if last is None:
+        page = ev.event_page(e, s, ALL, token, n=50, include_payload=False)
+        seen += [(r["ts"], r["id"]) for r in page.rows]
+        token, pages = page.next_token, pages + 1
+        if not token:
             break
-        after = (instant_literal(instant(last["ts"].isoformat() + "Z")), last["id"])
-    assert len(seen) == 120 and seen == sorted(seen, reverse=True)
+    assert pages == 3 and len(seen) == 120 and seen == sorted(seen, reverse=True)
     assert "payload" not in ev.newest_events(e, s, ALL, include_payload=False).columns
+    for bad in ("%%%", "YQ"):
+        with pytest.raises(ValueError):
+            ev.event_page(e, s, ALL, bad)
 
 
 def test_event_list_defaults(listed):
@@ -121,6 +123,8 @@ def test_tails_and_presence(spark):
     assert {k: (r["state"], r["n_new"]) for k, r in got.items()} == {
         "s": ("has_rows", 27), "quiet": ("caught_up", 0), "ghost": ("unknown", 0)}
     assert by(ev.presence(positions(("s", 30)), s, e), "session_id")["s"]["state"] == "caught_up"
+    assert by(ev.presence(positions(("s", -1)), s, e), "session_id")["s"]["state"] == "invalid"
+    assert seqs(positions(("s", -1))) == []
 
 
 def test_a_limit_per_session_is_taken_before_the_shuffle(spark, listed):
