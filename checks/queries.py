@@ -670,19 +670,19 @@ def stream_tail(b):
 
 @query
 def stream_session_stats(b):
-    path = _streamed(b, jobs.start_session_stats, "session-stats")
+    path = _streamed(b, jobs.start_activity, "activity")
     return _measures(jobs.read_session_stats(b.spark, path), "session_id", "event_count")
 
 
 @query
 def stream_buckets_day(b):
-    path = _streamed(b, jobs.start_days, "days")
+    path = _streamed(b, jobs.start_activity, "activity")
     return _measures(jobs.read_buckets(b.spark, path, "day", b.sessions), "bucket", "session_count", "event_count")
 
 
 @query
 def stream_buckets_week(b):
-    path = _streamed(b, jobs.start_days, "days")
+    path = _streamed(b, jobs.start_activity, "activity")
     return _measures(jobs.read_buckets(b.spark, path, "week", b.sessions), "bucket", "session_count", "event_count")
 
 

@@ -65,8 +65,9 @@ def with_payload(events: DataFrame) -> DataFrame:
 
 
 def metadata_map(metadata: Column) -> Column:
-    """A session's metadata object as a string map; NULL when it is none."""
-    return F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,string>")
+    """A session's metadata object as a string map; empty when it is none."""
+    kind = "map<string,string>"
+    return F.coalesce(F.from_json(metadata, kind), F.create_map().cast(kind))
 
 
 def json_array_has(array: Column, value: str) -> Column:

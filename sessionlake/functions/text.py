@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sessionlake import vocabulary as V
-from sessionlake.functions.payload import json_fields
 
 
 def trimmed(c: Column) -> Column:
@@ -37,7 +36,9 @@ def title_problem(title: Column) -> Column:
 
 def error_text(payload: Column) -> Column:
     """What an error row says: the excerpt when it is short, counted in bytes."""
-    excerpt = json_fields(payload, V.ERROR_EXCERPT)[V.ERROR_EXCERPT]
+    # a variant keeps text apart from a number, which is no excerpt
+    value = F.from_json(payload, f"`{V.ERROR_EXCERPT}` variant")[V.ERROR_EXCERPT]
+    excerpt = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
     short = F.octet_length(excerpt).between(1, V.ERROR_EXCERPT_MAX_BYTES)
     return F.when(short, F.concat(F.lit(V.ERROR_PREFIX), excerpt)).otherwise(V.ERROR_FALLBACK)
 

@@ -2,9 +2,13 @@
 buckets current.
 
 Each batch of a stream writes the folder of its own batch id, so a batch that
-runs again after a failure replaces what it wrote. A session's running totals
-live in those tables and not in the stream's state: state holds only the ids
-seen within the watermark and the days still open.
+runs again after a failure replaces what it wrote. Sums are written per batch
+and added up on reading: they hold no state in the stream, take events in any
+order of time, and never leave one out.
+
+Where the delivery may bring an event twice, `delay` names how late a copy can
+be: ids are then remembered for that long behind the latest event, and, as the
+price of it, an event later than that is left out.
 """
 
 from __future__ import annotations
@@ -16,75 +20,63 @@ from pyspark.sql.streaming import StreamingQuery
 from sessionlake.functions.payload import with_payload
 from sessionlake.functions.times import bucket_key
 from sessionlake.operators.scope import of_sessions
-from sessionlake.operators.stats import MEASURES, measures, summed
-
-# How late an event may arrive.
-DELAY = "2 days"
-SUMS = (*MEASURES, "event_count")
+from sessionlake.operators.stats import measures, summed
 
 
-def once_each(stream: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Events without the copies that a writer's retry brings."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+def once_each(stream: DataFrame, delay: str | None) -> DataFrame:
+    """Events without the copies a repeated delivery brings."""
+    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"]) if delay else stream
 
 
-def _start(stream: DataFrame, write, path: str, checkpoint: str, mode: str, trigger: dict) -> StreamingQuery:
+def _start(stream: DataFrame, write, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     def each(batch: DataFrame, batch_id: int) -> None:
         write(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .foreachBatch(each).trigger(**trigger).start()
+        stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
-def start_tail(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start_tail(
+    stream: DataFrame, path: str, checkpoint: str, delay: str | None = None, **trigger
+) -> StreamingQuery:
     """Append new events, each batch in session and sequence order. The
     checkpoint is the read position: what was seen is not read again."""
     def in_order(batch):
         return batch.repartitionByRange("session_id", "seq").sortWithinPartitions("session_id", "seq")
 
-    return _start(once_each(stream), in_order, path, checkpoint, "append", trigger or {"availableNow": True})
+    return _start(once_each(stream, delay), in_order, path, checkpoint, trigger)
 
 
 def read_tail(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
-def start_session_stats(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append each batch's sums per session."""
+def start_activity(
+    stream: DataFrame, path: str, checkpoint: str, delay: str | None = None, **trigger
+) -> StreamingQuery:
+    """Append each batch's sums per day and session. They serve the statistics
+    of sessions and, since every bucket is made of days, all granularities."""
     def sums(batch):
-        return with_payload(batch).groupBy("session_id").agg(*measures())
+        days = with_payload(batch).groupBy(F.window("ts", "1 day").alias("w"), "session_id").agg(*measures())
+        return days.withColumn("day", F.col("w.start")).drop("w")
 
-    return _start(once_each(stream), sums, path, checkpoint, "append", trigger or {"availableNow": True})
+    return _start(once_each(stream, delay), sums, path, checkpoint, trigger)
 
 
 def read_session_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Current statistics per session: the batches' sums added up."""
+    """Current statistics per session."""
     return spark.read.parquet(path).groupBy("session_id").agg(*summed())
 
 
-def start_days(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep sums per day and session; each batch writes the rows it changed.
-    A day leaves the state once the watermark has passed its end."""
-    days = (
-        with_payload(once_each(stream)).groupBy(F.window("ts", "1 day").alias("w"), "session_id")
-        .agg(*measures()).select(F.col("w.start").alias("day"), "session_id", *SUMS)
-    )
-    return _start(days, lambda batch: batch, path, checkpoint, "update", trigger or {"availableNow": True})
-
-
 def read_buckets(spark: SparkSession, path: str, granularity: str, sessions: DataFrame | None = None) -> DataFrame:
-    """Current buckets. Weeks, months and years are made of whole days, so one
-    stream serves every granularity; its rows are per session, so a count of
-    them is exact where the stream itself could not count distinct sessions."""
-    latest = (
-        spark.read.parquet(path).groupBy("day", "session_id")
-        .agg(F.max_by(F.struct(*SUMS), F.col("batch_id")).alias("s")).select("day", "session_id", "s.*")
-    )
+    """Current buckets, of all sessions or of the given ones. Their rows are per
+    session first, so a count of them is the exact number of sessions, which a
+    stream could not count by itself."""
+    per_session = spark.read.parquet(path).groupBy(
+        bucket_key(F.col("day"), granularity).alias("bucket"), "session_id"
+    ).agg(*summed())
     if sessions is not None:
-        latest = of_sessions(latest, sessions)
-    return (
-        latest.groupBy(bucket_key(F.col("day"), granularity).alias("bucket"), "session_id").agg(*summed())
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("session_count"), *summed())
-    )
+        per_session = of_sessions(per_session, sessions)
+    return per_session.groupBy("bucket").agg(F.count(F.lit(1)).alias("session_count"), *summed())

@@ -36,7 +36,7 @@ def test_an_array_column_has_a_value(spark):
 
 
 def test_metadata_maps(spark):
-    assert apply(spark, payload.metadata_map, ['{"a":"x"}', "{}", None, "{bad"]) == [{"a": "x"}, {}, {}, None]
+    assert apply(spark, payload.metadata_map, ['{"a":"x"}', "{}", None, "{bad"]) == [{"a": "x"}, {}, {}, {}]
 
 
 @pytest.mark.parametrize("granularity,keys", [
@@ -164,10 +164,10 @@ def test_error_text(spark):
     doc = lambda s: json.dumps({"response_body_excerpt": s}, ensure_ascii=False)
     fallback = "[LLM error] The request could not be completed."
     cases = [doc("gateway timeout"), doc(""), doc("y" * 200), doc("y" * 201), doc("é" * 100), doc("é" * 101),
-             '{"v":1}', "{bad", "", None]
+             '{"v":1}', "{bad", "", None, '{"response_body_excerpt":7}']
     assert apply(spark, text.error_text, cases) == [
         "[LLM error] gateway timeout", fallback, "[LLM error] " + "y" * 200, fallback, "[LLM error] " + "é" * 100,
-        fallback, fallback, fallback, fallback, fallback]
+        fallback, fallback, fallback, fallback, fallback, fallback]
 
 
 def test_metadata_gate(spark):

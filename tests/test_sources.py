@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlake.operators import stats
+from sessionlake.operators import paging, stats
 from sessionlake.operators.scope import Scope, events_in, sessions_in
 from sessionlake.plans import reports
 from sessionlake.sources.reader import FileStore, read_model, table_counts
@@ -82,6 +82,9 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert len(events_in(stored, window).inputFiles()) <= len(stored.inputFiles())
     scan, = scans(sessions_in(s, Scope(group_id="g", kind="chat")).select("id"))
     assert "EqualTo(group_id,g)" in scan and "EqualTo(interaction_kind,chat)" in scan
+    behind = paging.after(stats.session_stats(s, stored), "created_at", "desc", "2025-01-01T00:00:00Z", "x").select("id")
+    session_scan = next(x for x in scans(behind) if "created_at" in x)
+    assert "Or(LessThan(created_at," in session_scan  # a page's boundary is applied before the join
     full = stats.session_stats(s, stored, window).select("id", "tokens_in_total")
     event_scan = next(x for x in scans(full) if "event_type" in x)
     assert "content" not in event_scan and "duration_ms" not in event_scan and "parent_id" not in event_scan

@@ -1,5 +1,5 @@
-"""Streams end where the batch results are: over many batches, with copies,
-and when a stream stops and goes on."""
+"""Streams end where the batch results are: over many batches, with copies, out
+of order, and when a stream stops and goes on."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,12 +34,12 @@ def deliver(e, path):
     e.coalesce(1).write.mode("append").parquet(path)
 
 
-def run(spark, log, start, tmp_path):
+def run(spark, log, start, tmp_path, deliveries=None, delay="30 days"):
     """Run the stream after each delivery, as a job that stops in between."""
     path, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
-    for part in parts(log[1]):
+    for part in deliveries or parts(log[1]):
         deliver(part, path)
-        start(source(spark, path, log[1].schema), out, checkpoint).awaitTermination()
+        start(source(spark, path, log[1].schema), out, checkpoint, delay).awaitTermination()
     return out
 
 
@@ -48,7 +48,8 @@ def test_the_tail_brings_each_event_once(spark, log, tmp_path):
     got = jobs.read_tail(spark, out)
     assert sorted(column(got, "id")) == sorted(column(log[1], "id"))
     before = got.count()
-    jobs.start_tail(source(spark, str(tmp_path / "in"), log[1].schema), out, str(tmp_path / "checkpoint")).awaitTermination()
+    again = source(spark, str(tmp_path / "in"), log[1].schema)
+    jobs.start_tail(again, out, str(tmp_path / "checkpoint"), "30 days").awaitTermination()
     assert jobs.read_tail(spark, out).count() == before
 
 
@@ -57,14 +58,26 @@ def rows(df, key):
 
 
 def test_session_statistics(spark, log, tmp_path):
-    out = run(spark, log, jobs.start_session_stats, tmp_path)
+    out = run(spark, log, jobs.start_activity, tmp_path)
     assert rows(jobs.read_session_stats(spark, out), "session_id") == rows(stats.activity(log[1]), "session_id")
 
 
+@pytest.mark.parametrize("start", [jobs.start_tail, jobs.start_activity])
+def test_late_events_are_kept(spark, log, tmp_path, start):
+    """Deliveries from the latest to the earliest, weeks apart."""
+    e = log[1].withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 20 * cast(substring(id, 2, 1) as int))"))
+    n = F.substring("id", 2, 3).cast("int")
+    out = run(spark, log, start, tmp_path, [e.where(n >= 100), e.where((n >= 40) & (n < 100)), e.where(n < 40)], None)
+    if start is jobs.start_tail:
+        assert sorted(column(jobs.read_tail(spark, out), "id")) == sorted(column(e, "id"))
+    else:
+        assert rows(jobs.read_session_stats(spark, out), "session_id") == rows(stats.activity(e), "session_id")
+
+
 @pytest.mark.parametrize("granularity", ["day", "week", "month"])
 def test_time_buckets(spark, log, tmp_path, granularity):
     s, e = log
-    out = run(spark, log, jobs.start_days, tmp_path)
+    out = run(spark, log, jobs.start_activity, tmp_path)
     known = s.where("id <> 's3'")
     got = jobs.read_buckets(spark, out, granularity, known)
     want = buckets.time_buckets(known, e, granularity)
@@ -74,12 +87,12 @@ def test_time_buckets(spark, log, tmp_path, granularity):
 
 
 def test_a_batch_that_runs_again_replaces_its_rows(spark, log, tmp_path):
-    out = run(spark, log, jobs.start_session_stats, tmp_path)
+    out = run(spark, log, jobs.start_activity, tmp_path)
     want = rows(jobs.read_session_stats(spark, out), "session_id")
     # as if the last batch had been written but not committed
     commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
     commits[-1].unlink()
     (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
-    jobs.start_session_stats(
-        source(spark, str(tmp_path / "in"), log[1].schema), out, str(tmp_path / "checkpoint")).awaitTermination()
+    jobs.start_activity(
+        source(spark, str(tmp_path / "in"), log[1].schema), out, str(tmp_path / "checkpoint"), "30 days").awaitTermination()
     assert rows(jobs.read_session_stats(spark, out), "session_id") == want

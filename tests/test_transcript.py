@@ -220,7 +220,7 @@ def test_the_detail_report(spark):
                dict(id="x", session_id="s", seq=2, event_type="llm_error", ts="2025-01-01T00:00:02Z", payload=failed("oops")))
     detail = reports.session_detail(s, m, e)
     head = by(detail.sessions, "id")
-    assert head["s"]["metadata"] == {"lang": "fr"} and head["t"]["metadata"] is None
+    assert head["s"]["metadata"] == {"lang": "fr"} and head["t"]["metadata"] == {}
     assert head["s"]["llm_call_count"] == 1 and head["t"]["cost_by_currency"] == {}
     assert [(r["pos"], r["role"], r["tool_calls"]) for r in detail.messages.orderBy("pos").collect()] == [
         (1, "user", None), (2, "assistant", "[" + entry("k") + "]"), (3, "error", None)]
