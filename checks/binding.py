@@ -206,8 +206,9 @@ class Bound:
             F.col("l_linenumber").cast("bigint").alias("seq"), F.col("l_shipdate").cast("timestamp").alias("ts"),
             _case((flag == "R", F.lit("llm_response")), (flag == "A", F.lit("tool_call_result")),
                   default=F.lit("retry")).alias("event_type"),
-            F.to_json(F.struct(
-                F.col("l_quantity").cast("int").alias("tokens_in"), F.col("l_extendedprice").alias("cost_input"),
-                F.col("l_discount").alias("cost_output"), F.when(F.col("l_linenumber") == 1, 0.5).alias("price"),
-            )).alias("payload"),
+            F.concat(
+                F.lit('{"tokens_in":'), F.col("l_quantity").cast("int"), F.lit(',"cost_input":'), F.col("l_extendedprice"),
+                F.lit(',"cost_output":'), F.col("l_discount"),
+                F.when(F.col("l_linenumber") == 1, ',"price":0.5}').otherwise("}"),
+            ).alias("payload"),
         )

@@ -11,7 +11,7 @@ from sessionlake.operators import budget, events as ev, export, paging, prompts,
 from sessionlake.operators.scope import ALL, Scope
 from sessionlake.plans import reports
 from sessionlake.sources.schema import MissingColumns
-from tests.tables import by, column, events, messages, response, sessions, table
+from tests.tables import by, column, events, response, sessions, table
 
 
 @pytest.fixture(scope="module")
