@@ -411,7 +411,7 @@ def last_activity(b):
 def stats_after_key(b):
     s = stats.session_stats(b.sessions, b.events)
     return paging.after(s, "cost_total", "desc", "100.5", "3").select(
-        "id", (F.col("cost_input_total") + F.col("cost_output_total")).alias("cost_total"))
+        "id", stats.cost_total().alias("cost_total"))
 
 
 # --- windows -----------------------------------------------------------------
@@ -470,7 +470,7 @@ def page_by_model(b):
 def page_by_cost(b):
     s = paging.after(stats.session_stats(b.sessions, b.events), "cost_total", "asc", "0", "500")
     return paging.page_rows(s, "cost_total", "asc", 100).select(
-        "pos", "id", "is_boundary", (F.col("cost_input_total") + F.col("cost_output_total")).alias("cost_total"))
+        "pos", "id", "is_boundary", stats.cost_total().alias("cost_total"))
 
 
 @query

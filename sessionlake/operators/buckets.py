@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions.times import bucket_key, bucket_scaffold, check_bucket_window
 from sessionlake.operators.currency import currency_map, or_empty
 from sessionlake.operators.scope import ALL, Scope
-from sessionlake.operators.stats import scoped_activity, summed, zero_filled
+from sessionlake.operators.stats import cost_total, scoped_activity, summed, zero_filled
 
 
 def by_bucket(granularity: str) -> dict:
@@ -42,7 +42,7 @@ def rolled_up(sessions: DataFrame, events: DataFrame, granularity: str, scope: S
 def bucket_report(fine: DataFrame) -> DataFrame:
     """Buckets with their currency map, from the measures per session, bucket
     and currency."""
-    costs = F.col("cost_input_total") + F.col("cost_output_total")
+    costs = cost_total()
     per_currency = fine.groupBy("bucket", "currency").agg(*summed())
     mapped = per_currency.groupBy("bucket").agg(
         *summed(), currency_map(F.col("currency"), costs).alias("cost_by_currency")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionlake import vocabulary as V
 from sessionlake.functions.payload import is_llm, with_payload
 from sessionlake.operators.scope import ALL, Scope, events_in, of_sessions, sessions_in
-from sessionlake.operators.stats import activity, summed
+from sessionlake.operators.stats import activity, cost_total, summed
 
 NO_COSTS = "map<string,double>"
 
@@ -58,7 +58,7 @@ def with_costs(activity_by_currency: DataFrame, *keys: str) -> DataFrame:
     summed per key and currency (currency NULL for other events)."""
     return activity_by_currency.groupBy(*keys).agg(
         *summed(),
-        currency_map(F.col("currency"), F.col("cost_input_total") + F.col("cost_output_total"))
+        currency_map(F.col("currency"), cost_total())
         .alias("cost_by_currency"),
     )
 

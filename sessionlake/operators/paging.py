@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.tokens import decode_token, encode_token
 from sessionlake.operators.ordered import numbered
+from sessionlake.operators.stats import cost_total
 from sessionlake.vocabulary import DEFAULT_LIMIT, MAX_LIMIT
 
 TIME_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -40,7 +41,7 @@ def sort_key(name: str) -> SortKey:
         "updated_at": SortKey(F.col("updated_at"), "timestamp"),
         # a session without a model sorts as the empty name
         "active_model": SortKey(F.coalesce("active_model", F.lit("")), "string"),
-        "cost_total": SortKey(F.col("cost_input_total") + F.col("cost_output_total"), "decimal(38,12)"),
+        "cost_total": SortKey(cost_total(), "decimal(38,12)"),
         "llm_call_count": SortKey(F.col("llm_call_count"), "bigint"),
         "tool_call_count": SortKey(F.col("tool_call_count"), "bigint"),
         "tokens_in_total": SortKey(F.col("tokens_in_total"), "bigint"),

@@ -54,6 +54,13 @@ def measures() -> list[Column]:
     ]
 
 
+def cost_total() -> Column:
+    """Input and output cost together, at the full scale of both: the sum of
+    two decimals of 38 digits would lose the last one."""
+    part = "decimal(37,12)"
+    return F.col("cost_input_total").cast(part) + F.col("cost_output_total").cast(part)
+
+
 def summed() -> list[Column]:
     """The measures summed again from a finer table."""
     whole = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in (*COUNTS, *TOKENS, "event_count")]

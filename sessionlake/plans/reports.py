@@ -19,7 +19,7 @@ from sessionlake.operators.events import event_rows, newest_events, session_rows
 from sessionlake.operators.ordered import pinned
 from sessionlake.operators.paging import after, page_rows
 from sessionlake.operators.scope import ALL, Scope, of_sessions, sessions_in
-from sessionlake.operators.stats import published, totals, zero_filled
+from sessionlake.operators.stats import cost_total, published, totals, zero_filled
 from sessionlake.operators.transcript import transcript
 
 
@@ -39,7 +39,7 @@ def _with_stats(sessions: DataFrame, fine: DataFrame, scope: Scope) -> DataFrame
 def _with_total_costs(total: DataFrame, fine: DataFrame, sessions: DataFrame, scope: Scope) -> DataFrame:
     """Add the currency map over all sessions in scope to a one-row table."""
     per_currency = of_sessions(fine, sessions_in(sessions, scope)).groupBy("currency").agg(
-        F.sum(F.col("cost_input_total") + F.col("cost_output_total")).alias("cost")
+        F.sum(cost_total()).alias("cost")
     )
     costs = per_currency.agg(currency_map(F.col("currency"), F.col("cost")).alias("m"))
     return total.withColumn("cost_by_currency", or_empty(costs.scalar()))

@@ -136,6 +136,15 @@ def test_an_empty_currency_is_none(spark, log):
     assert [(r["currency"], r["cost"]) for r in got] == [("none", 3.0)]
 
 
+def test_the_smallest_costs_are_kept(spark, log):
+    e = events(spark, dict(id="x", session_id="p1", seq=9, event_type="llm_response",
+                           payload=response(cost_input=1e-12, cost_output=2e-12)))
+    r = reports.session_list(log[0], e, sort="cost_total", n=1)
+    assert r.rows.first()["cost_by_currency"] == {"none": 3e-12} == r.totals.first()["cost_by_currency"]
+    assert float(currency.cost_by_currency(log[0], e).first()["cost"]) == 3e-12
+    assert r.rows.first()["id"] == "p1"
+
+
 def test_currencies_of_a_page(log):
     s, e = log
     page = s.where(F.col("id") == "m_free")
