@@ -14,11 +14,11 @@ from sessionlake.operators import (
     breakdown, budget, buckets, currency, events, export, paging, prompts, rename, replay, scope, stats,
     toolcalls, transcript,
 )
-from sessionlake.operators.ordered import new_folder
 from sessionlake.operators.scope import ALL, Scope
 from sessionlake.plans import reports
 from sessionlake.sources import reader
 from sessionlake.streaming import jobs
+from sessionlake.workspace import new_folder
 
 SINCE, UNTIL = "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z"
 WINDOW = Scope(since=SINCE, until=UNTIL)

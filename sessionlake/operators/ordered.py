@@ -8,38 +8,12 @@ group is added from one small row per range.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 1 << 16
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate tables. A session that names none
-    (a local run) gets one of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionlake-")
-        )
-    return context.getCheckpointDir()
+from sessionlake.workspace import written
 
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: every reader sees the same
-    rows and ranges, also after an executor is lost, and reads the columns it
-    needs without computing df again."""
-    path = new_folder(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ROWS_PER_RANGE = 1 << 16
 
 
 def running(
@@ -62,7 +36,7 @@ def running(
     placed = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order]
     key = [*map(F.col, group), *placed]
     cut = df.repartitionByRange(ranges, *key) if ranges else df.repartitionByRange(*key)
-    cut = pinned(cut.withColumn("_range", F.spark_partition_id()))
+    cut = written(cut.withColumn("_range", F.spark_partition_id()))
 
     within = Window.partitionBy(*group, "_range").orderBy(*placed)
     so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -16,7 +16,7 @@ from sessionlake.operators.budget import budget_balance
 from sessionlake.operators.buckets import bucket_report, by_bucket, filled
 from sessionlake.operators.currency import activity_by_currency, currency_map, or_empty, with_costs
 from sessionlake.operators.events import event_rows, newest_events, session_rows
-from sessionlake.operators.ordered import pinned
+from sessionlake.workspace import written
 from sessionlake.operators.paging import after, page_rows
 from sessionlake.operators.scope import ALL, Scope, of_sessions, sessions_in
 from sessionlake.operators.stats import cost_total, published, totals, zero_filled
@@ -24,7 +24,7 @@ from sessionlake.operators.transcript import transcript
 
 
 def _kept(df: DataFrame, keep: bool) -> DataFrame:
-    return pinned(df) if keep else df
+    return written(df) if keep else df
 
 
 def _with_stats(sessions: DataFrame, fine: DataFrame, scope: Scope) -> DataFrame:
