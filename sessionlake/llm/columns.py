@@ -18,11 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where the tokenizer file of this name is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once per row however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def drawn(key: str, rows: Column, sample: int) -> Column:
+    """Whether a row is among the about `sample` ones drawn from `rows` rows, by a hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30) < F.lit(float(sample)) / rows
+
+
 def words(text: Column) -> Column:
     """The runs of other characters than white space; none for a null text."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE))

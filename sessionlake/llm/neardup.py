@@ -5,14 +5,15 @@
    scale floor(1 - log_b x), cut to 0..Q+1. Registers of a union are the maxima,
    and two sets share a register about as often as their Jaccard similarity says.
 2. Equal sets form one class, which its smallest id stands for.
-3. Classes that share a band of registers meet. Each is paired with the smallest
-   class of that band, not with all others.
+3. Classes that share a band of registers meet. Each is paired with one class of that
+   band, the one that meets most others, not with all.
 4. The numbers of registers that are smaller, equal and larger give, with the set
    sizes, the joint likelihood of a similarity. A pair goes on unless the wanted
    similarity is out of the question (`DOUBT`).
 5. The pair is confirmed on full sets, and links are joined to components.
 6. Where a band's classes still lie in different components, the pairs across
-   components that were not compared are, so that no link is lost to step 3.
+   components are compared too, but for those that the numbers of their shingles found
+   nowhere else rule out. So no link is lost to step 3.
 """
 
 from __future__ import annotations
@@ -68,9 +69,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 for k, i in enumerate(have):
                     keys[i], regs[i], bands[i] = sums[k].tobytes(), r[k].tobytes(), band[k]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(a, b - a), pa.array(n), pa.array(keys, pa.binary()),
-                pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-            ], names=["id", "n", "key", "regs", "bands"])
+                batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n),
+                pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+            ], names=["id", "text_hash", "n", "key", "regs", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -131,6 +132,31 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
     return shared.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("u", "v")
 
 
+def _across(named: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of classes of one band in different components that may be similar enough.
+
+    A class shares with any other at most those of its shingles that some other class of
+    these bands has. With the set sizes that bounds the similarity of a pair, and rules out
+    the many copies of a family that changed too much to link to any other copy.
+    """
+    ids = named.select("id").distinct()
+    sets = written(docs.join(ids, "id", "left_semi").mapInArrow(
+        lambda b: _sets(b, width), "id long, s array<long>"), "sets")
+    each = sets.select("id", F.explode("s").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("in")).where("in > 1")
+    shared = each.join(common, "s").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    bound = written(sets.select("id", F.size("s").cast("long").alias("n")).join(shared, "id").where(
+        100 * F.col("c") >= percent * F.col("n")), "bounds")
+    named = named.join(bound, "id")
+    rest = named.where("label <> main").select("band", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "c")])
+    most = F.least("c", "x_c")
+    pairs = rest.join(named, "band").where(
+        (F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_id") < F.col("id")))
+        & (100 * most >= percent * (F.col("n") + F.col("x_n") - most)))
+    return written(pairs.select(
+        F.greatest("x_id", "id").alias("u"), F.least("x_id", "id").alias("v")).distinct(), "across")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -138,28 +164,35 @@ def near_duplicates(
     at least `percent`/100, directly or through others.
 
     Returns per row of docs: doc_id, n_shingles, component_id (smallest id reachable,
-    itself included), kept (whether it is that id), set_key (equal for equal sets).
+    itself included), kept (whether it is that id), text_hash (xxhash64 of the text).
     A text with fewer words than `width` is one shingle; a null text, or one without
     words, has none and is linked with nothing. A row without an id is its own group:
     component_id is null and it is kept. Rows that share an id and a text share their
     result; rows that share an id but not the text are grouped each by its text. An
     empty table gives an empty result. Other columns of docs are not looked at.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("text_hash"))
     sketch = written(rows.mapInArrow(
-        lambda b: _sketches(b, width), "id long, n long, key binary, regs binary, bands array<long>"), "sketch")
+        lambda b: _sketches(b, width), "id long, text_hash long, n long, key binary, regs binary, bands array<long>"), "sketch")
     placed = sketch.where("n > 0 and id is not null")
     class_of = placed.groupBy("key").agg(F.min("id").alias("class"))
-    member = written(placed.select("id", "n", "key").join(class_of, "key"), "member")
+    member = written(placed.select("id", "text_hash", "n", "key").join(class_of, "key"), "member")
     heads = member.where("id = class").select("id", "key").distinct()
     # rows may repeat, and one id may stand for two texts: keep each set once
     nodes = written(placed.join(heads, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]), "nodes")
-    texts = rows.where("id is not null")
+    texts = rows.where("id is not null").select("id", "t")
 
     bands = nodes.select("id", F.explode("bands").alias("band"))
-    meet = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    meet = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     hits = written(bands.join(meet, "band"), "hits")
-    star = hits.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
+    # the class that meets most others is the least changed one of a family, so most of them link to it
+    central = hits.groupBy("id").agg(F.sum("size").alias("central"))
+    hub = hits.join(central, "id").groupBy("band").agg(
+        F.max(F.struct("central", (-F.col("id")).alias("negative"))).alias("h")).select(
+        "band", (-F.col("h.negative")).alias("hub"))
+    hits = written(hits.join(hub, "band"), "hubs")
+    star = hits.where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
     links = written(_links(star, nodes, texts, width, percent), "near")
     found = components(links)
 
@@ -169,18 +202,14 @@ def near_duplicates(
         F.min("label").alias("low"), F.max("label").alias("high"),
         F.max(F.when(F.col("id") == F.col("hub"), F.col("label"))).alias("main")).where("low <> high").select("band", "main")
     named = written(named.where("id <> hub").join(split, "band"), "split")
-    rest = named.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"))
-    across = rest.join(named, "band").where(
-        (F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("id"))))
-    across = written(across.select(
-        F.greatest("x", "id").alias("u"), F.least("x", "id").alias("v")).distinct(), "across")
-    if not across.isEmpty():
+    if not named.isEmpty():
+        across = _across(named, texts, width, percent)
         links = written(links.unionByName(_links(across, nodes, texts, width, percent)), "near")
         found = components(links)
 
     grouped = member.join(found.withColumnRenamed("node", "class"), "class", "left").select(
-        "id", "n", "key", F.coalesce("label", "class").alias("component_id"))
-    alone = sketch.where("n = 0 or id is null").select("id", "n", "key", F.col("id").alias("component_id"))
+        "id", "text_hash", "n", F.coalesce("label", "class").alias("component_id"))
+    alone = sketch.where("n = 0 or id is null").select("id", "text_hash", "n", F.col("id").alias("component_id"))
     return grouped.unionByName(alone).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("key").alias("set_key"))
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

@@ -1,0 +1,141 @@
+"""Language identification, vectors and document scores."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sessionlake.llm import ann, langid, masked_lm
+
+
+class Plain:
+    """The same model with dictionaries: counts of contexts of every order."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, {}
+        for t in texts:
+            data = b"\0" * order + t.lower().encode()
+            for i in range(order, len(data)):
+                for k in range(order + 1):
+                    c = self.seen.setdefault(data[i - k:i], {})
+                    c[data[i]] = c.get(data[i], 0) + 1
+
+    def bits(self, text):
+        data, total = b"\0" * self.order + text.lower().encode(), 0.0
+        for i in range(self.order, len(data)):
+            for k in range(self.order, -1, -1):
+                c = self.seen.get(data[i - k:i])
+                if c and data[i] in c:
+                    total -= math.log2(c[data[i]] / (sum(c.values()) + len(c)))
+                    break
+                if c:
+                    total -= math.log2(len(c) / (sum(c.values()) + len(c)))
+            else:
+                total += 8
+        return total
+
+
+def test_code_lengths_equal_plain_counting(docs):
+    rng = random.Random(6)
+    words = {"a": ["the", "of", "thing", "Ax"], "b": ["der", "und", "für", "öl"]}
+    table = [(i, " ".join(rng.choice(words["ab"[i % 2]]) for _ in range(30)), "ab"[i % 2]) for i in range(40)]
+    model = langid.trained(docs(table + [(99, None, "a"), (98, "x", None)]).withColumnRenamed("doc_id", "key"))
+    assert model.langs == ["a", "b"]
+    tests = ["the of", "für", "zzz qqq", "Ax öl", "x" * 10, "", None, "the of " * 3]
+    want = [[Plain([t for _, t, lang in table if lang == x], langid.ORDER).bits(t or "") for x in "ab"] for t in tests]
+    assert model.lengths(tests) == pytest.approx(np.array(want), rel=1e-5)
+    got = {r.doc_id: r for r in langid.identified(docs(list(enumerate(tests)) + [(50, "123 .")]), model).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 5, 6, 50)] == ["a", "b", "und", "und", "und"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_long_texts_are_scored_whole(docs, monkeypatch):
+    model = langid.trained(docs([(1, "abc " * 50, "a")]).withColumnRenamed("doc_id", "key"))
+    text = "abcd " * 1000
+    whole = model.lengths([text, "abc"])
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    assert model.lengths([text, "abc"]) == pytest.approx(whole, rel=1e-6)
+
+
+def test_no_labels_and_no_rows(docs):
+    assert langid.trained(docs([(1, None, "a"), (2, "x", None)]).withColumnRenamed("doc_id", "key")) is None
+    assert [tuple(r) for r in langid.identified(docs([(1, "abc")]), None).collect()] == [(1, "und", 0.0)]
+
+
+def brute(vectors, queries, k):
+    ids = np.array(sorted(vectors))
+    m = np.array([vectors[i] for i in ids], dtype=float)
+    out = {}
+    for q in queries:
+        s = np.zeros(len(ids))
+        for j in range(m.shape[1]):
+            s += vectors[q][j] * m[:, j]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:k]
+        out[q] = [(int(ids[i]), float(s[i])) for i in order]
+    return out
+
+
+def test_recall_and_exact_scores(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 16)) * 2
+    v = {i: (centres[i % 8] + rng.normal(size=16) if i % 3 else rng.normal(size=16)).astype(np.float32) for i in range(4000)}
+    for i in range(1000, 1400):
+        v[i] = v[1000]
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in v.items()], "vec_id long, embedding array<float>, score int")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    want = brute(v, [i for i in v if i % 20 == 0], 20)
+    hits = 0
+    for q, w in want.items():
+        found = [got[q][i + 1] for i in range(20)]
+        assert found == sorted(found, key=lambda x: (-x[1], x[0])) and q not in dict(found)
+        hits += len(set(found) & set(w))
+        if 1000 <= q < 1400:
+            assert found == w
+    assert hits >= 0.9 * 20 * len(want)
+
+
+def test_odd_vectors_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    table = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [3.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, inf]),
+             (6, [None, 1.0]), (7, [1.0]), (8, []), (None, [1.0, 1.0]), (1, [3.0, 1.0]), (40, None)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 3.0), (0, 2, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 0, 0.0)]
+    assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_scores_beat_word_frequencies(docs):
+    rng = random.Random(2)
+    pairs = [f"a{i} b{i}" for i in range(40)]
+    table = [(i, " ".join(rng.choice(pairs) for _ in range(60))) for i in range(600)]
+    model = masked_lm.trained(docs(table), one_in=1)
+    untrained = (model[0], masked_lm.Network.first(model[0].frequency))
+    tests = [(1, table[0][1]), (2, " ".join(sorted(table[0][1].split()))), (3, None), (4, " "), (5, "a1"), (None, "a1")]
+    score = {r.doc_id: r for r in masked_lm.scored(docs(tests).withColumn("n", F.lit(1)), model).collect()}
+    base = {r.doc_id: r for r in masked_lm.scored(docs(tests), untrained).collect()}
+    assert score[1].per_word > base[1].per_word + 0.3
+    assert score[1].per_word > score[2].per_word
+    assert (score[3].n_words, score[3].log_probability, score[3].per_word) == (0, 0.0, None)
+    assert score[4].n_words == 0 and score[5].log_probability == score[None].log_probability < 0
+
+
+def test_gradient_is_that_of_the_log_probability():
+    rng = np.random.default_rng(0)
+    net = masked_lm.Network.first(np.ones(masked_lm.VOCABULARY))
+    net.rows[:] = rng.normal(0, 0.3, net.rows.shape)
+    context, ids = rng.integers(0, masked_lm.VOCABULARY, (4, 50)).astype(np.int32), rng.integers(0, 1024, 50).astype(np.int32)
+    before = net.log_probability(context, ids).mean()
+    squares = masked_lm.Network(np.ones_like(net.rows))
+    for _ in range(5):
+        net.learn(context, ids, squares)
+    assert net.log_probability(context, ids).mean() > before
+
+
+def test_scores_of_an_empty_corpus(docs):
+    model = masked_lm.trained(docs([(1, None)]))
+    assert [tuple(r) for r in masked_lm.scored(docs([(1, None)]), model).collect()] == [(1, 0, 0.0, None)]
+    assert masked_lm.scored(docs([]), masked_lm.trained(docs([]))).count() == 0

@@ -1,0 +1,107 @@
+"""Packing and token counts against the tokenizer itself."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sessionlake.llm import packing
+from sessionlake.llm.columns import vocabulary
+from sessionlake.llm.tokencount import spliced, token_counts, tokenizer
+
+WORDS, BYTES = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
+
+
+def some_texts(n=120):
+    rng = random.Random(8)
+    parts = ["the", "word's", "Straße", "ΣΑΣ", "é", "é", "日本語", "😀!", "<|endoftext|>", "a<|startoftext|>b", "12 34", " x", "\x1cy",
+             "...", "\n\n", "  ", "\t", "can't", "#$%", " "]
+    long = " ".join(rng.choice(parts) for _ in range(9000))
+    return [None, "", " ", "x" * 5000, long, "a " * 2047, "a " * 2048] + [
+        "".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(400))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return some_texts()
+
+
+def check_packing(got, ids, capacity=2048):
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+        bins[r.sequence_id].append(r)
+    assert pieces.keys() == ids.keys()
+    for i, own in ids.items():
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(own) and r.length > 0
+            assert r.ids_crc32 == zlib.crc32(np.array(own[at:at + r.length], dtype="<u4").tobytes())
+            at += r.length
+        assert at == len(own)
+    for b in bins.values():
+        at = 0
+        for r in sorted(b, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+    used = sum(r.length for r in got)
+    return len(bins) * capacity / used if used else 1
+
+
+def test_every_id_is_packed_once(docs, texts):
+    own = tokenizer(WORDS)
+    ids = {i: own.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    got = packing.packed(docs(list(enumerate(texts))).withColumn("k", F.lit("x")).repartition(5), WORDS).collect()
+    assert check_packing(got, ids) < 1.1
+
+
+def test_many_short_documents_fill_their_sequences(docs):
+    own = tokenizer(WORDS)
+    table = [(i, "a " * (i % 97)) for i in range(9000)]
+    got = packing.packed(docs(table), WORDS).collect()
+    assert check_packing(got, {i: own.encode(t, add_special_tokens=False).ids + [1] for i, t in table}) < 1.12
+
+
+def test_packing_of_repeats_nulls_and_nothing(docs):
+    assert packing.packed(docs([]), WORDS).count() == 0
+    got = packing.packed(docs([(None, "a"), (1, "b"), (1, "b")]), WORDS).collect()
+    assert [(r.doc_id, r.length) for r in sorted(got, key=lambda r: r.doc_id or 0)] == [(None, 2), (1, 2), (1, 2)]
+    assert sorted(r.offset for r in got) == [0, 2, 4]
+
+
+def test_cuts_add_up_and_fit_their_class():
+    kind, pieces = packing.cuts(2048)
+    for n in range(1, 2048):
+        assert sum(pieces[n]) == n and all(p <= 2048 // kind[p] for p in pieces[n])
+
+
+def test_remembered_runs_can_be_forgotten(texts):
+    own = packing.Ids(WORDS, 50)
+    want = [tokenizer(WORDS).encode(t or "", add_special_tokens=False).ids for t in texts]
+    for at in range(0, len(texts), 10):
+        got = [np.frombuffer(b, "<u4").tolist() for b in own.of(texts[at:at + 10])]
+        assert got == want[at:at + 10]
+
+
+def test_counts_equal_the_tokenizer(docs, texts):
+    own = tokenizer(BYTES)
+    df = docs(list(enumerate(texts)) + [(None, "x")]).withColumn("n_tokens", F.lit("clash"))
+    got = {r.doc_id: r for r in token_counts(df, BYTES, chunk=700, overlap=8).collect()}
+    for i, t in enumerate(texts):
+        n = len(own.encode(t or "", add_special_tokens=False).ids)
+        assert tuple(got[i]) == (i, len((t or "").encode()), n, n > 512)
+    assert got[None].n_tokens == 1 and token_counts(docs([]), BYTES).count() == 0
+
+
+@pytest.mark.parametrize("chunk,overlap", [(10, 1), (64, 8), (1000, 3)])
+def test_splices_equal_one_pass(chunk, overlap):
+    own = tokenizer(BYTES)
+    encode = lambda t: own.encode(t, add_special_tokens=False).offsets
+    rng = random.Random(chunk)
+    for t in some_texts(25)[4:] + ["x" * 400, "x" * 150 + " " * 200 + "y" * 99, " " * 300, "ab " * 100]:
+        t = (t or "")[: rng.randrange(1, 4000)]
+        assert spliced(t, encode, chunk, overlap) == [a for a, _ in encode(t)]
