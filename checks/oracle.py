@@ -43,6 +43,7 @@ CTES = {
     "ranked": """
         SELECT *, CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS session_id,
             SUM(CASE WHEN llm THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS r,
+            LAG(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before_event,
             LAG(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before_type,
             LAG(k) OVER (PARTITION BY user_id ORDER BY event_id) AS before_k
         FROM ev0""",
@@ -58,6 +59,23 @@ CTES = {
                 || CASE i WHEN 0 THEN '", "n":2.50}' ELSE '","n":1e3}' END AS entry
         FROM main, (VALUES (0), (1)) t(i)
         WHERE i = 0 OR user_id % 6 NOT IN (2, 3)""",
+    "payloads": """
+        SELECT id, COALESCE(CASE WHEN llm AND k % 10 = 0 THEN CAST(before_event AS VARCHAR) END, '') AS parent_id,
+            CASE WHEN llm THEN '{"v":3,"tokens_in":' || k || ',"tokens_out":' || k // 2
+                || CASE WHEN k % 4 = 0 THEN ',"cache_write_tokens":' || k || ',"cache_read_tokens":' || 2 * k ELSE '' END
+                || ',"cost_input":' || value || ',"cost_output":' || k / 100.0::DOUBLE
+                || CASE k % 5 WHEN 0 THEN ',"cost_currency":"USD"' WHEN 1 THEN ',"cost_currency":"EUR"'
+                    WHEN 2 THEN ',"cost_currency":""' ELSE '' END
+                || CASE WHEN user_id % 4 <> 0 AND k % 3 = 0 THEN ',"price":' || k ELSE '' END
+                || ',"native_tool_calls_raw": [{"id":"' || CASE user_id % 6 WHEN 3 THEN 'dup' WHEN 2 THEN 'call-1'
+                    ELSE 'tc-' || user_id || '-' || r END || '", "n":2.50}'
+                || CASE WHEN user_id % 6 IN (2, 3) THEN ''
+                    ELSE ',  {"id":"tc-' || user_id || '-' || r || 'b","n":1e3}' END || ']}'
+            WHEN event_type IN ('click', 'signup') THEN '{"v":1,"call_id":"tr-' || k % 10 || '","status":"'
+                || CASE WHEN k % 3 = 0 THEN 'error' ELSE 'ok' END || '"}'
+            WHEN event_type = 'error' THEN '{"response_body_excerpt":"' || repeat('x', 4 * k) || '"}'
+            ELSE '{"v":1}' END AS payload
+        FROM ranked""",
     "msg": """
         SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id, turn, turn + 1 AS seq, role, text AS content,
             CASE WHEN role = 'user' AND turn % 2 = 0 THEN 'tr-' || turn END AS tool_call_id,
@@ -89,7 +107,7 @@ CTES = {
         FROM attributed GROUP BY session_id, seq HAVING COUNT(*) = ANY_VALUE(n_ids)""",
     "errs": """
         SELECT session_id, seq AS event_seq, ts, CASE WHEN k BETWEEN 1 AND 50 THEN '[LLM error] ' || repeat('x', 4 * k)
-            ELSE '[LLM error] The request could not be completed.' END AS content
+            ELSE '[LLM error] The request could not be completed.' END AS content, repeat('x', 4 * k) AS excerpt
         FROM ev WHERE event_type = 'llm_error'""",
     "usage": """
         SELECT o_orderkey AS n, o_orderpriority AS group_id, CAST(o_custkey AS VARCHAR) AS entity_id,
@@ -112,7 +130,7 @@ CTES = {
 }
 
 NEEDS = {
-    "ev": ["ev0"], "ranked": ["ev0"], "main": ["ranked"], "entries": ["main"], "stored": ["msg"],
+    "ev": ["ev0"], "ranked": ["ev0"], "main": ["ranked"], "payloads": ["ranked"], "entries": ["main"], "stored": ["msg"],
     "attributed": ["entries", "stored"], "served": ["attributed"], "errs": ["ev"],
 }
 
@@ -200,12 +218,15 @@ sql("export_sessions", "sess ev", """
         || ',"system_source":"' || COALESCE(system_source, '') || '"'
         || ',"opened_by":"' || COALESCE(opened_by, '') || '"'
         || ',"llm_call_count":' || n_calls
-        || ',"price_total":' || COALESCE(CAST(price AS VARCHAR), 'null')
-        || ',"calls":' || CASE WHEN n_calls > 0 THEN '{"calls":' || n_calls || '}' ELSE '{}' END
+        || ',"price_total":' || COALESCE(CAST(price / 8 AS VARCHAR), 'null')
+        || ',"cost_by_currency":{' || concat_ws(',', '"EUR":' || eur, '"USD":' || usd, '"none":' || none) || '}'
         || '}' AS json
     FROM sess JOIN (
-        SELECT s.id, COUNT(*) FILTER (WHERE e.llm) AS n_calls, CAST(SUM(e.price) AS BIGINT) AS price
-        FROM sess s LEFT JOIN ev e ON e.session_id = s.id GROUP BY s.id) t USING (id)""")
+        SELECT e.session_id AS id, COUNT(*) FILTER (WHERE e.llm) AS n_calls, CAST(SUM(e.price) AS DOUBLE) AS price,
+            CAST(CAST(SUM(e.cost_in + e.cost_out) FILTER (WHERE e.currency = 'EUR') AS DOUBLE) AS VARCHAR) AS eur,
+            CAST(CAST(SUM(e.cost_in + e.cost_out) FILTER (WHERE e.currency = 'USD') AS DOUBLE) AS VARCHAR) AS usd,
+            CAST(CAST(SUM(e.cost_in + e.cost_out) FILTER (WHERE e.currency = 'none') AS DOUBLE) AS VARCHAR) AS none
+        FROM ev e GROUP BY e.session_id) t USING (id)""")
 
 # --- filters
 for _name, _where in {
@@ -235,7 +256,9 @@ sql("session_rows", "sess", f"""
         COALESCE(active_model, '') AS active_model, interaction_kind, COALESCE(system_source, '') AS system_source,
         COALESCE(opened_by, '') AS opened_by, {at('created_at')} AS created_at, {at('updated_at')} AS updated_at
     FROM sess""")
-sql("event_rows", "ev", f"SELECT {EVENT}, true AS has_payload FROM ev")
+sql("event_rows", "ev payloads", f"""
+    SELECT {EVENT}, regexp_replace(payload, ',"native_tool_calls_raw".*', '}}') AS payload
+    FROM ev JOIN (SELECT id, payload FROM payloads) USING (id)""")
 sql("payload_fields", "ev", """
     SELECT id, tokens_in, tokens_out, cache_write AS cache_write_tokens, cache_read AS cache_read_tokens,
         CAST(cost_in AS DOUBLE) AS cost_input, CAST(cost_out AS DOUBLE) AS cost_output,
@@ -280,8 +303,13 @@ sql("tool_result_pairs", "ev msg", """
     FROM msg m JOIN ev e ON e.session_id = m.session_id AND 'tr-' || e.k % 10 = m.tool_call_id
         AND e.event_type IN ('tool_call_extracted', 'tool_call_result')
     GROUP BY m.session_id, m.seq, m.tool_call_id""")
+sql("tool_result_events", "ev msg", """
+    SELECT m.session_id, m.seq AS message_seq, m.tool_call_id AS call_id, e.seq AS event_seq, e.id AS event_id, e.event_type,
+        CASE WHEN e.k % 3 = 0 THEN 'error' ELSE 'ok' END AS status
+    FROM msg m JOIN ev e ON e.session_id = m.session_id AND 'tr-' || e.k % 10 = m.tool_call_id
+        AND e.event_type IN ('tool_call_extracted', 'tool_call_result')""")
 sql("prompt_resolve", "", """
-    SELECT r.sha256, r.n_refs, p.source IS NOT NULL AS is_found, p.source AS kind, length(p.text) AS n_chars
+    SELECT r.sha256, r.n_refs, p.source IS NOT NULL AS is_found, p.source AS kind, length(p.text) AS n_chars, md5(p.text) AS content_md5
     FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN sha256(text || '?') ELSE sha256(text) END AS sha256, COUNT(*) AS n_refs
           FROM documents GROUP BY 1) r
     LEFT JOIN (SELECT sha256(text) AS sha256, arg_min(source, doc_id) AS source, arg_min(text, doc_id) AS text
@@ -363,7 +391,7 @@ sql("sample_sessions", "sess ev", f"""
             ROW_NUMBER() OVER (PARTITION BY e.event_type ORDER BY MAX(e.ts) DESC, e.session_id) AS rank
         {INNER} WHERE {GROUP} GROUP BY 1, 2) WHERE rank <= 5""")
 sql("error_rows", "errs", f"""
-    SELECT session_id, event_seq, CAST(0 AS BIGINT) AS seq, 'error' AS role, content, {at('ts')} AS created_at FROM errs""")
+    SELECT session_id, event_seq, CAST(0 AS BIGINT) AS seq, 'error' AS role, content, {at('ts')} AS created_at, excerpt FROM errs""")
 
 
 def _transcript(columns: str, shown: str) -> str:
@@ -411,6 +439,13 @@ _page("page_by_model", "COALESCE(ANY_VALUE(s.active_model), '')", "DESC", 100, "
       after="(v, id) < ('model-b', '50')")
 _page("page_by_cost", COST_TOTAL, "ASC", 100, "v AS cost_total,", after="(v, id) > (0, '500')")
 _page("page_boundary", "COALESCE(SUM(e.tokens_in), 0)", "DESC", 25, "", where="s.interaction_kind = 'system'")
+_NULLED = "(SELECT id, CASE WHEN n % 3 <> 0 THEN created_at END AS c FROM sess)"
+_TURNED = " UNION ALL ".join(f"""
+    SELECT '{_w}' AS way, pos, id, {at('c')} AS created_at, pos = 100 AND total > 100 AS is_boundary FROM (
+        SELECT *, ROW_NUMBER() OVER (ORDER BY c {_w} NULLS {_nulls}, id {_w}) AS pos, COUNT(*) OVER () AS total
+        FROM {_NULLED} WHERE {_after}) WHERE pos <= 100""" for _w, _nulls, _after in (
+    ("asc", "FIRST", "c IS NOT NULL OR id > '50'"), ("desc", "LAST", "c IS NULL AND id < '50'")))
+sql("page_null_keys", "sess", _TURNED)
 sql("page_index", "sess ev", f"""
     SELECT pos // 25 AS page, pos, id, v AS sort_value FROM (
         SELECT id, v, ROW_NUMBER() OVER (ORDER BY v DESC, id DESC) AS pos FROM (
@@ -420,12 +455,15 @@ EVENT_PAGE = """SELECT pos, id, session_id, seq, {ts} AS ts, {columns}, pos = {n
 sql("events_page", "sess ev", EVENT_PAGE.format(
     ts=at("ts"), columns="event_type", n=200, rows=f"{INNER} WHERE {GROUP} AND e.ts < TIMESTAMP '2024-01-20'"))
 sql("tail_events", "ev positions", """
-    SELECT session_id, pos, seq, id FROM (
-        SELECT e.*, ROW_NUMBER() OVER (PARTITION BY e.session_id ORDER BY e.seq) AS pos
+    SELECT session_id, pos, seq, id, n > 20 AS has_more FROM (
+        SELECT e.*, ROW_NUMBER() OVER (PARTITION BY e.session_id ORDER BY e.seq) AS pos,
+            COUNT(*) OVER (PARTITION BY e.session_id) AS n
         FROM ev e JOIN positions p USING (session_id) WHERE e.seq > p.since_seq) WHERE pos <= 20""")
 sql("debug_replay", "debug", f"""
-    SELECT session_id, pos, id, trace_id, {at('ts')} AS ts, direction, CAST(status AS BIGINT) AS status, url, md5(body) AS body_md5
-    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ts, id) AS pos FROM debug) WHERE pos <= 20""")
+    SELECT session_id, pos, id, trace_id, {at('ts')} AS ts, direction, CAST(status AS BIGINT) AS status, url, md5(body) AS body_md5,
+        n > 20 AS has_more
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ts, id) AS pos,
+        COUNT(*) OVER (PARTITION BY session_id) AS n FROM debug) WHERE pos <= 20""")
 sql("debug_pairs", "debug", """
     SELECT session_id, id AS response_id, CASE WHEN before_direction = 'request' THEN before_id END AS request_id FROM (
         SELECT *, LAG(id) OVER w AS before_id, LAG(direction) OVER w AS before_direction
@@ -464,7 +502,8 @@ sql("fn_rfc3339_utc", "", f"""
     FROM events""")
 sql("fn_made_up_id", "ev0", "SELECT event_id, k % 6 IN (0, 2, 3) AS is_made_up FROM ev0")
 sql("fn_stored_call_ids", "msg stored", """
-    SELECT session_id, seq, STRING_AGG(call_id, ' ' ORDER BY ord) AS ids
+    SELECT session_id, seq, STRING_AGG(call_id, ' ' ORDER BY ord) AS ids,
+        CAST(NULL AS VARCHAR) AS ids_junk, CAST(NULL AS VARCHAR) AS ids_two
     FROM msg LEFT JOIN stored USING (session_id, seq) GROUP BY session_id, seq""")
 sql("fn_call_entries", "entries", """
     SELECT session_id, response_id, CAST(idx AS BIGINT) AS idx, CAST(n_entries AS BIGINT) AS n_entries, call_id, entry,
@@ -472,7 +511,9 @@ sql("fn_call_entries", "entries", """
             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || ']' END AS raw
     FROM entries""")
 sql("fn_error_text", "errs ev", "SELECT id, content FROM errs JOIN ev ON ev.seq = errs.event_seq")
-sql("fn_metadata_gate", "msg", "SELECT session_id, seq, metadata FROM msg")
+sql("fn_metadata_gate", "msg", """
+    SELECT session_id, seq, metadata, CAST(NULL AS VARCHAR) AS behind, CAST(NULL AS VARCHAR) AS member,
+        CAST(NULL AS VARCHAR) AS junk FROM msg""")
 VALUE = "strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 
@@ -501,17 +542,44 @@ sql("report_sessions", "sess ev", f"""
     WHERE pos <= 50
     UNION ALL
     SELECT 'totals', 0, false, COUNT(DISTINCT s.id), '', {STATS}, {COSTS} {LEFT} WHERE {GROUP} AND {WINDOW}""")
-sql("report_session_detail", "sess ev msg errs served", f"""
-    SELECT id AS session_id, 'session' AS part, CAST(0 AS BIGINT) AS pos, interaction_kind AS kind,
-        COALESCE(title, '') AS body, NULL AS tool_calls FROM sess
+_NONE = {"text": "CAST(NULL AS VARCHAR)", "long": "CAST(NULL AS BIGINT)", "double": "CAST(NULL AS DOUBLE)"}
+_MEASURED = {
+    "event_count": "long", "llm_call_count": "long", "tool_call_count": "long", "tokens_in_total": "long",
+    "tokens_out_total": "long", "cache_write_tokens_total": "long", "cache_read_tokens_total": "long",
+    "cost_input_total": "double", "cost_output_total": "double", "price_total": "double", "cost_usd": "double",
+    "cost_eur": "double", "cost_none": "double", "n_currencies": "long", "channel": "text", "n_metadata": "long"}
+_OWN = {"pos": "long", "seq": "long", "tool_calls": "text", "tool_call_id": "text", "own_metadata": "text", "visibility": "text",
+        "at": "text", "duration_ms": "long", "parent_id": "text", "payload": "text"}
+
+
+def _part(part: str, kind: str, body: str, **columns: str) -> str:
+    """One part of a long table: the columns that it lacks are NULL."""
+    found = {**{n: _NONE[t] for n, t in {**_MEASURED, **_OWN}.items()}, **columns}
+    return f"'{part}' AS part, {kind} AS kind, {body} AS body, " + ", ".join(f"{v} AS {n}" for n, v in found.items())
+
+
+sql("report_session_detail", "sess ev msg errs served payloads", f"""
+    SELECT id AS session_id, {_part("session", "interaction_kind", "COALESCE(title, '')", **{n: n for n in _MEASURED})}
+    FROM (SELECT s.id, ANY_VALUE(s.interaction_kind) AS interaction_kind, ANY_VALUE(s.title) AS title, COUNT(e.id) AS event_count,
+            {STATS}, {COSTS},
+            CASE WHEN s.n % 11 <> 0 AND s.n % 4 <> 0 THEN 'c' || s.n % 3 END AS channel,
+            CAST(CASE WHEN s.n % 11 <> 0 AND s.n % 4 <> 0 THEN 2 ELSE 0 END AS BIGINT) AS n_metadata
+          {LEFT} GROUP BY s.id, s.n)
     UNION ALL
-    SELECT t.session_id, 'message', t.pos, t.role, t.content, c.tool_calls
-    FROM ({_transcript('seq, role, content', "role <> 'system'")}) t
+    SELECT t.session_id, {_part("message", "t.role", "t.content", pos="t.pos", seq="t.seq", tool_calls="c.tool_calls",
+                                tool_call_id="t.tool_call_id", own_metadata="t.metadata", visibility="t.visibility", at="t.at")}
+    FROM ({_transcript(f"seq, role, content, tool_call_id, metadata, visibility, {at('created_at')} AS at", "role <> 'system'")}) t
         LEFT JOIN served c ON c.session_id = t.session_id AND c.seq = t.seq
     UNION ALL
-    SELECT session_id, 'event', seq, event_type, id, NULL FROM ev""")
+    SELECT session_id, {_part("event", "event_type", "ev.id", seq="seq", at=at("ts"), duration_ms="COALESCE(duration_ms, 0)",
+                              parent_id="parent_id", payload="payload")}
+    FROM ev JOIN payloads USING (id)""")
 sql("report_by_type", "sess ev", f"""
-    SELECT t.event_type, t.event_count, ROW_NUMBER() OVER (ORDER BY t.event_count DESC, t.event_type) AS pos, x.samples
+    SELECT 'all' AS event_type, COUNT(e.id) AS event_count, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS samples,
+        COUNT(DISTINCT s.id) AS session_count, {STATS}, {COSTS} {LEFT} WHERE {GROUP} AND {WINDOW}
+    UNION ALL
+    SELECT t.event_type, t.event_count, ROW_NUMBER() OVER (ORDER BY t.event_count DESC, t.event_type) AS pos, x.samples,
+        {", ".join(["NULL"] * 14)}
     FROM (SELECT e.event_type, COUNT(*) AS event_count {INNER} WHERE {GROUP} AND {WINDOW} GROUP BY 1) t
     JOIN (SELECT event_type, STRING_AGG(session_id, ' ' ORDER BY rank) AS samples FROM (
         SELECT e.event_type, e.session_id,

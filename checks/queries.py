@@ -107,10 +107,9 @@ def export_sessions(b):
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
         "interaction_kind", "system_source", "opened_by",
     )
-    s = stats.session_stats(b.sessions, b.events).select(
-        "id", "llm_call_count", F.col("price_total").cast("bigint").alias("price_total"))
-    costs = F.expr("map_filter(map('calls', llm_call_count), (k, v) -> v > 0)")
-    return export.json_lines(rows.join(s, "id").withColumn("calls", costs))
+    s = stats.published(currency.with_costs(currency.activity_by_currency(b.events), "session_id")).select(
+        F.col("session_id").alias("id"), "llm_call_count", (F.col("price_total") / 8).alias("price_total"), "cost_by_currency")
+    return export.json_lines(rows.join(s, "id"))
 
 
 # --- filters -----------------------------------------------------------------
@@ -183,8 +182,7 @@ def session_rows(b):
 
 @query
 def event_rows(b):
-    return events.event_rows(b.events).withColumn("payload", F.length("payload") > 0).withColumnRenamed(
-        "payload", "has_payload")
+    return events.event_rows(b.events)
 
 
 @query
@@ -262,13 +260,18 @@ def tool_result_pairs(b):
     return toolcalls.tool_results_with_events(b.messages, b.events)
 
 
+@query
+def tool_result_events(b):
+    return toolcalls.tool_result_events(b.messages, b.events)
+
+
 @query
 def prompt_resolve(b):
     sha = F.sha2("text", 256)
     references = b.table("documents").select(F.when(F.col("doc_id") % 4 == 0, F.sha2(F.concat("text", F.lit("?")), 256))
                                              .otherwise(sha).alias("sha256"))
     return prompts.resolve_prompts(references, b.snapshots).select(
-        "sha256", "n_refs", "is_found", "kind", F.char_length("content").alias("n_chars"))
+        "sha256", "n_refs", "is_found", "kind", F.char_length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 # --- aggregations ------------------------------------------------------------
@@ -473,6 +476,16 @@ def page_by_cost(b):
         "pos", "id", "is_boundary", stats.cost_total().alias("cost_total"))
 
 
+@query
+def page_null_keys(b):
+    """Pages that go on behind a session without a time, in both directions."""
+    n = F.col("id").cast("bigint")
+    s = b.sessions.select("id", F.when(n % 3 != 0, F.col("created_at")).alias("created_at"))
+    pages = [paging.page_rows(paging.after(s, "created_at", way, None, "50"), "created_at", way, 100).select(
+        F.lit(way).alias("way"), "pos", "id", "created_at", "is_boundary") for way in ("asc", "desc")]
+    return pages[0].unionByName(pages[1])
+
+
 @query
 def page_boundary(b):
     s = stats.session_stats(b.sessions, b.events, Scope(kind="system"))
@@ -494,13 +507,14 @@ def events_page(b):
 
 @query
 def tail_events(b):
-    return events.tail(b.events, _positions(b), 20, include_payload=False).select("session_id", "pos", "seq", "id")
+    return events.tail(b.events, _positions(b), 20, include_payload=False).select(
+        "session_id", "pos", "seq", "id", "has_more")
 
 
 @query
 def debug_replay(b):
     return replay.debug_replay(b.debug_events, 20).select(
-        "session_id", "pos", "id", "trace_id", "ts", "direction", "status", "url", F.md5("body").alias("body_md5"))
+        "session_id", "pos", "id", "trace_id", "ts", "direction", "status", "url", F.md5("body").alias("body_md5"), "has_more")
 
 
 @query
@@ -609,7 +623,10 @@ def fn_made_up_id(b):
 @query
 def fn_stored_call_ids(b):
     ids = calls.stored_call_ids(F.col("tool_calls"))
-    return b.messages.select("session_id", "seq", F.array_join(ids, " ").alias("ids"))
+    broken = {f"ids_{n}": F.array_join(calls.stored_call_ids(c), " ") for n, c in {
+        "junk": F.concat("tool_calls", F.lit(" junk]")), "two": F.concat_ws(",", "tool_calls", "tool_calls")}.items()}
+    return b.messages.withColumns(broken | {"ids": F.array_join(ids, " ")}).select(
+        "session_id", "seq", "ids", *broken)
 
 
 @query
@@ -624,7 +641,10 @@ def fn_error_text(b):
 
 @query
 def fn_metadata_gate(b):
-    return b.messages.select("session_id", "seq", text.metadata_or_null(F.col("metadata")).alias("metadata"))
+    m = F.col("metadata")
+    return b.messages.select("session_id", "seq", text.metadata_or_null(m).alias("metadata"), *[
+        text.metadata_or_null(c).alias(n) for n, c in {
+            "behind": F.concat(m, F.lit("],[1")), "member": F.concat(m, F.lit(',"x":1')), "junk": F.concat(m, F.lit(" x"))}.items()])
 
 
 @query
@@ -701,13 +721,29 @@ def report_sessions(b):
 
 @query
 def report_session_detail(b):
-    return reports.session_detail(b.sessions, b.messages, b.events_with_calls).lines()
+    d = reports.session_detail(b.sessions, b.messages, b.events_with_calls)
+    costs = ["cost_usd", "cost_eur", "cost_none", "n_currencies"]
+    head = costs_apart(d.sessions).select(
+        F.col("id").alias("session_id"), F.lit("session").alias("part"), F.col("interaction_kind").alias("kind"),
+        F.col("title").alias("body"), "event_count", *stats.MEASURES, *costs,
+        F.col("metadata")["channel"].alias("channel"), F.size("metadata").cast("bigint").alias("n_metadata"))
+    told = d.messages.select(
+        "session_id", F.lit("message").alias("part"), "pos", "seq", F.col("role").alias("kind"),
+        F.col("content").alias("body"), "tool_calls", "tool_call_id", F.col("metadata").alias("own_metadata"), "visibility",
+        F.col("created_at").alias("at"))
+    log = d.events.select(
+        "session_id", F.lit("event").alias("part"), "seq", F.col("event_type").alias("kind"), F.col("id").alias("body"),
+        F.col("ts").alias("at"), "duration_ms", "parent_id", "payload")
+    return head.unionByName(told, allowMissingColumns=True).unionByName(log, allowMissingColumns=True)
 
 
 @query
 def report_by_type(b):
     r = reports.event_stats(b.sessions, b.events, GROUP_WINDOW, by_type=True, samples=3)
-    return r.by_event_type.select("event_type", "event_count", "pos", F.array_join("sample_session_ids", " ").alias("samples"))
+    types = r.by_event_type.select("event_type", "event_count", "pos", F.array_join("sample_session_ids", " ").alias("samples"))
+    cols = ["session_count", *stats.MEASURES, "cost_usd", "cost_eur", "cost_none", "n_currencies"]
+    total = costs_apart(r.totals).select(F.lit("all").alias("event_type"), "event_count", F.lit(0).alias("pos"), *cols)
+    return total.unionByName(types, allowMissingColumns=True)
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sessionlake import vocabulary as V
-from sessionlake.functions.text import trimmed
+from sessionlake.functions.text import trimmed, whole_json
 
 
 def made_up(call_id: Column) -> Column:
@@ -27,10 +27,13 @@ def stored_call_ids(tool_calls: Column) -> Column:
     text = trimmed(tool_calls)
     array = text.startswith("[") & text.endswith("]")
     # a variant keeps the type of the id apart from its text
-    stored = F.when(array, F.from_json(text, "array<struct<id:variant>>"))
-    ids = F.transform(stored, lambda c: F.when(
-        F.schema_of_variant(c["id"]) == "STRING", F.try_variant_get(c["id"], "$", "string")
-    ))
+    def own_id(call: Column) -> Column:
+        return F.when(F.schema_of_variant(call["id"]) == "STRING", F.try_variant_get(call["id"], "$", "string"))
+
+    stored = F.when(array, whole_json(
+        text, "array<struct<id:variant>>", lambda own: F.concat(F.lit('[{"id":"'), own, F.lit('"}]')),
+        lambda v: own_id(F.get(v, F.lit(0)))))
+    ids = F.transform(stored, own_id)
 
     def all_or_none(found: Column) -> Column:
         good = (F.size(found) > 0) & F.forall(found, lambda i: F.coalesce(i != "", F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def trim(value: str | None) -> str:
 
 
 def search_term(value: str | None) -> str:
-    """A title search, trimmed and cut to the longest title."""
-    return trim(value)[: V.MAX_TITLE_CHARS]
+    """A title search, trimmed; the whole of it must be in a title."""
+    return trim(value)
 
 
 def title_contains(title: Column, term: str) -> Column:
@@ -34,18 +36,43 @@ def title_problem(title: Column) -> Column:
     )
 
 
-def error_text(payload: Column) -> Column:
-    """What an error row says: the excerpt when it is short, counted in bytes."""
+def error_excerpt(payload: Column) -> Column:
+    """The excerpt of the failed response, whatever its length; NULL when there is none."""
     # a variant keeps text apart from a number, which is no excerpt
     value = F.from_json(payload, f"`{V.ERROR_EXCERPT}` variant")[V.ERROR_EXCERPT]
-    excerpt = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def error_text(payload: Column) -> Column:
+    """What an error row says: the excerpt when it is short, counted in bytes."""
+    excerpt = error_excerpt(payload)
     short = F.octet_length(excerpt).between(1, V.ERROR_EXCERPT_MAX_BYTES)
     return F.when(short, F.concat(F.lit(V.ERROR_PREFIX), excerpt)).otherwise(V.ERROR_FALLBACK)
 
 
+def whole_json(text: Column, kind: str, mark: Callable[[Column], Column], read: Callable[[Column], Column]) -> Column:
+    """text as JSON of a type, NULL unless the whole text is one value.
+
+    Spark takes a value and leaves what follows it. Here the text stands alone in
+    an array, and a mark made of the text's hash in a second one behind it: text
+    after the value breaks the arrays, adds an element, or hides the mark.
+    mark(hash) is JSON of the type, read(value) gets the hash back.
+    """
+    own = F.xxhash64(text).cast("string")
+    pair = F.from_json(F.concat(F.lit("[["), text, F.lit("],["), mark(own), F.lit("]]")), f"array<array<{kind}>>")
+
+    def one(x: Column) -> Column:
+        value, end = F.get(x, F.lit(0)), F.get(F.get(x, F.lit(1)), F.lit(0))
+        return F.when((F.size(x) == 2) & (F.size(value) == 1) & (read(end) == own), value[0])
+
+    return F.transform(F.array(pair), one)[0]
+
+
+def _is_json(text: Column) -> Column:
+    return whole_json(text, "string", lambda own: F.concat(F.lit('"'), own, F.lit('"')), lambda v: v).isNotNull()
+
+
 def metadata_or_null(metadata: Column) -> Column:
     """A message's metadata as stored, trimmed; NULL when empty or no JSON."""
     text = trimmed(metadata)
-    # as the only element of an array, so that text after the value is an error
-    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    return F.when(~text.isin("", "null", "{}") & (F.size(one) == 1), text)
+    return F.when(~text.isin("", "null", "{}") & _is_json(text), text)

@@ -8,6 +8,9 @@ import binascii
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a token holds for a NULL sort value; no text of a value begins with NUL.
+NULL_VALUE = "\0"
+
 # A token of two fields is from before the sort was a choice: it means this.
 DEFAULT_SORT = ("created_at", "desc")
 
@@ -18,12 +21,12 @@ def _encoded(*parts: Column) -> Column:
 
 
 def page_token(sort: str, direction: str, value: Column, row_id: Column) -> Column:
-    return _encoded(F.lit(sort), F.lit(direction), value, row_id)
+    return _encoded(F.lit(sort), F.lit(direction), F.coalesce(value, F.lit(NULL_VALUE)), row_id)
 
 
 def event_token(ts_text: Column, row_id: Column) -> Column:
     """An event list has one order, so its token is `ts|id`."""
-    return _encoded(ts_text, row_id)
+    return _encoded(F.coalesce(ts_text, F.lit(NULL_VALUE)), row_id)
 
 
 def decoded_token(token: Column, sort: str, direction: str) -> Column:
@@ -46,14 +49,14 @@ def decoded_token(token: Column, sort: str, direction: str) -> Column:
     keep = lambda c: F.when(~bad, c)
     return F.struct(
         status.alias("status"), keep(key).alias("sort"), keep(way).alias("direction"),
-        keep(F.when(legacy, got(1)).otherwise(got(3))).alias("value"),
+        keep(F.nullif(F.when(legacy, got(1)).otherwise(got(3)), F.lit(NULL_VALUE))).alias("value"),
         keep(F.when(legacy, got(2)).otherwise(got(4))).alias("id"),
     )
 
 
-def encode_token(sort: str, direction: str, value: str, row_id: str) -> str:
+def encode_token(sort: str, direction: str, value: str | None, row_id: str) -> str:
     """The same token on the driver, for the one row a page ends with."""
-    raw = "|".join((sort, direction, value, row_id)).encode()
+    raw = "|".join((sort, direction, NULL_VALUE if value is None else value, row_id)).encode()
     return base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
 
 
@@ -65,8 +68,8 @@ def _fields(token: str, most: int) -> list[str]:
     return raw.split("|", most - 1)
 
 
-def decode_token(token: str, sort: str, direction: str) -> tuple[str, str] | None:
-    """(value, id) of a token, None for the first page."""
+def decode_token(token: str, sort: str, direction: str) -> tuple[str | None, str] | None:
+    """(value, id) of a token, None for the first page; the value may be None."""
     if not token:
         return None
     parts = _fields(token, 4)
@@ -76,14 +79,14 @@ def decode_token(token: str, sort: str, direction: str) -> tuple[str, str] | Non
         raise ValueError("page token: malformed")
     if (parts[0], parts[1]) != (sort, direction):
         raise ValueError(f"page token: order {parts[0]}/{parts[1]} does not match {sort}/{direction}")
-    return parts[2], parts[3]
+    return None if parts[2] == NULL_VALUE else parts[2], parts[3]
 
 
-def decode_event_token(token: str) -> tuple[str, str] | None:
+def decode_event_token(token: str) -> tuple[str | None, str] | None:
     """(ts, id) of an event list's token, None for the first page."""
     if not token:
         return None
     parts = _fields(token, 2)
     if len(parts) != 2:
         raise ValueError("page token: malformed")
-    return parts[0], parts[1]
+    return None if parts[0] == NULL_VALUE else parts[0], parts[1]

@@ -71,7 +71,8 @@ def budget_usage(usage: DataFrame, rules: DataFrame, ranges: int | None = None)
     (array, empty for chat), since, max_price. Usage and rule starts are put on
     one time line per group, entity and kind, and summed from its end: the sum
     at a rule's start is what the rule has used. No rule meets a usage row, so
-    many rules on a busy group cost no more than their own rows.
+    many rules on a busy group cost no more than their own rows. Usage before
+    the earliest rule is not read, and only lines that have a rule are kept.
     """
     kinds = F.when(F.size("kinds") > 0, F.array_distinct("kinds")).otherwise(F.array(F.lit(DEFAULT_BUDGET_KIND)))
     line = ["group_id", "whole_group", "entity", "kind"]
@@ -79,15 +80,20 @@ def budget_usage(usage: DataFrame, rules: DataFrame, ranges: int | None = None)
         "group_id", F.col("entity_id").isNull().alias("whole_group"), F.coalesce("entity_id", F.lit("")).alias("entity"),
         F.explode(kinds).alias("kind"), F.col("since").alias("at"), F.lit(0).alias("is_usage"), "rule_id",
     )
+    # one value; a constant, so that it reaches the scan
+    earliest = starts.agg(F.unix_micros(F.min("at"))).first()[0]
+    recent = _priced(usage)
+    if earliest is not None:
+        recent = recent.where(F.col("created_at") >= F.timestamp_micros(F.lit(earliest)))
     spent = (
         # once for the rules of the entity, once for those of its group
-        _priced(usage).withColumn("whole_group", F.explode(F.array(F.lit(False), F.lit(True))))
+        recent.withColumn("whole_group", F.explode(F.array(F.lit(False), F.lit(True))))
         .groupBy(
             "group_id", "whole_group", F.when(F.col("whole_group"), "").otherwise(F.col("entity_id")).alias("entity"),
             F.col("interaction_kind").alias("kind"), F.col("created_at").alias("at"),
         )
         .agg(F.sum("price").alias("price"))
-        .join(rules.select("group_id").distinct(), "group_id", "left_semi")
+        .join(starts.select(*line).distinct(), line, "left_semi")
         .withColumn("is_usage", F.lit(1))
     )
     both = spent.unionByName(starts, allowMissingColumns=True)

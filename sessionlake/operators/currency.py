@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from sessionlake import vocabulary as V
 from sessionlake.functions.payload import is_llm, with_payload
-from sessionlake.operators.scope import ALL, Scope, events_in, of_sessions, sessions_in
+from sessionlake.operators.scope import ALL, Scope, events_in, events_scoped, of_sessions, sessions_in
 from sessionlake.operators.stats import activity, cost_total, summed
 
 NO_COSTS = "map<string,double>"
 
 
-def session_costs(events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None) -> DataFrame:
-    """Decimal cost per session, currency and further key, of responses only."""
+def session_costs(
+    events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None, sessions: DataFrame | None = None
+) -> DataFrame:
+    """Decimal cost per session, currency and further key, of responses only.
+    `sessions` as in `activity`."""
     keys = [c.alias(n) for n, c in (by or {}).items()]
+    found = events_in(events, scope) if sessions is None else events_scoped(events, sessions, scope)
     return (
-        with_payload(events_in(events, scope).where(is_llm(F.col("event_type"))))
+        with_payload(found.where(is_llm(F.col("event_type"))))
         .groupBy("session_id", *keys, F.col(V.COST_CURRENCY).alias("currency"))
         .agg(F.sum(F.col(V.COST_INPUT) + F.col(V.COST_OUTPUT)).alias("cost"))
     )
@@ -31,7 +35,7 @@ def cost_by_currency(
 
     `page` limits it to the sessions of a result; an empty page has no rows.
     """
-    costs = of_sessions(session_costs(events, scope, by), sessions_in(sessions, scope))
+    costs = of_sessions(session_costs(events, scope, by, sessions), sessions_in(sessions, scope))
     if page is not None:
         costs = of_sessions(costs, page)
     if per_session:
@@ -63,6 +67,8 @@ def with_costs(activity_by_currency: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def activity_by_currency(events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None) -> DataFrame:
+def activity_by_currency(
+    events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None, sessions: DataFrame | None = None
+) -> DataFrame:
     """`activity` split by currency: statistics and currencies in one scan."""
-    return activity(events, scope, {**(by or {}), "currency": F.col(V.COST_CURRENCY)})
+    return activity(events, scope, {**(by or {}), "currency": F.col(V.COST_CURRENCY)}, sessions)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.tokens import decode_event_token, event_token
-from sessionlake.operators.paging import TIME_TEXT, Page, after_key, check_limit
+from sessionlake.operators.paging import TIME_TEXT, Page, after_key, check_limit, first_of_each
 from sessionlake.operators.scope import Scope, events_scoped
+from sessionlake.vocabulary import DEFAULT_LIMIT
 
 EVENT_COLUMNS = ("id", "session_id", "seq", "ts", "event_type", "parent_id", "duration_ms")
 
@@ -21,11 +22,12 @@ def event_rows(events: DataFrame, include_payload: bool = True) -> DataFrame:
     })
 
 
-def session_rows(sessions: DataFrame) -> DataFrame:
-    """Session rows as they are listed; text that is absent is empty."""
+def session_rows(sessions: DataFrame, *more: Column) -> DataFrame:
+    """Session rows as they are listed, with further columns of them; text that
+    is absent is empty."""
     text = ("entity_id", "group_id", "title", "summary", "active_model",
             "interaction_kind", "system_source", "opened_by")
-    return sessions.select("id", *text, "created_at", "updated_at").withColumns(
+    return sessions.select("id", *text, "created_at", "updated_at", *more).withColumns(
         {c: F.coalesce(c, F.lit("")) for c in text}
     )
 
@@ -76,13 +78,15 @@ def after_seq(events: DataFrame, positions: DataFrame) -> DataFrame:
     return events.join(asked, "session_id").where(F.col("seq") > F.col("since_seq")).drop("since_seq")
 
 
-def tail(events: DataFrame, positions: DataFrame, n: int | None = None, include_payload: bool = True) -> DataFrame:
-    """The next n events of each session, in order. Each task keeps n per
-    session before the shuffle."""
-    n = check_limit(n)
-    order = Window.partitionBy("session_id").orderBy("seq")
+def tail(
+    events: DataFrame, positions: DataFrame, n: int | None = DEFAULT_LIMIT, include_payload: bool = True
+) -> DataFrame:
+    """The next n events of each session, in order, all of them with n None.
+    `has_more` tells that a session goes on."""
+    if n is not None:
+        check_limit(n)
     ahead = after_seq(event_rows(events, include_payload), positions)
-    return ahead.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n)
+    return first_of_each(ahead, "session_id", ["seq"], n)
 
 
 def presence(positions: DataFrame, sessions: DataFrame, events: DataFrame) -> DataFrame:

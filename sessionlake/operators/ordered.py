@@ -16,6 +16,29 @@ from sessionlake.workspace import written
 ROWS_PER_RANGE = 1 << 16
 
 
+def ranges_for(rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    """How many ranges hold so many rows."""
+    return max(1, -(-rows // rows_per_range))
+
+
+def _filler(kind: str) -> Column:
+    """Some value of the type, to stand for NULL beside a flag."""
+    if kind in ("string", "binary"):
+        return F.lit("").cast(kind)
+    return F.lit({"boolean": "false", "date": "1970-01-01"}.get(kind, "1970-01-01" if kind.startswith("timestamp") else "0")).cast(kind)
+
+
+def _twins(df: DataFrame, group: list[str]) -> dict[str, Column]:
+    """Columns without NULL that are equal where the group columns are, so that
+    they can be joined by plain equality, which keeps a partitioning."""
+    kinds = dict(df.dtypes)
+    found = {}
+    for i, c in enumerate(group):
+        found[f"_group{i}"] = F.coalesce(F.col(c), _filler(kinds[c]))
+        found[f"_none{i}"] = F.col(c).isNull()
+    return found
+
+
 def running(
     df: DataFrame,
     group: list[str],
@@ -28,17 +51,21 @@ def running(
 ) -> DataFrame:
     """Add running totals and values of the previous row.
 
-    sums: new column -> addend; the total runs to and includes the row.
-    previous: new column -> column whose value in the row before it takes.
-    `group + order` must identify a row. `ranges` overrides how many there are.
+    sums: new column -> addend; the total runs to and includes the row, and is
+    NULL only as long as nothing was added. previous: new column -> column whose
+    value in the row before it takes. `group + order` must identify a row; NULL
+    is a group like any other. The number of ranges follows from the number of
+    rows; `ranges` overrides it.
     """
     sums, previous = sums or {}, previous or {}
     placed = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order]
-    key = [*map(F.col, group), *placed]
-    cut = df.repartitionByRange(ranges, *key) if ranges else df.repartitionByRange(*key)
+    twins = _twins(df, group)
+    same = list(twins)
+    rows = written(df.withColumns(twins))
+    cut = rows.repartitionByRange(ranges or ranges_for(rows.count()), *map(F.col, same), *placed)
     cut = written(cut.withColumn("_range", F.spark_partition_id()))
 
-    within = Window.partitionBy(*group, "_range").orderBy(*placed)
+    within = Window.partitionBy(*same, "_range").orderBy(*placed)
     so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumns({n: F.sum(c).over(so_far) for n, c in sums.items()})
     if previous:
@@ -46,24 +73,31 @@ def running(
 
     at_end = F.min_by if descending else F.max_by
     last = [at_end(F.struct(*previous.values()), F.struct(*order)).alias("_last")] if previous else []
-    totals = cut.groupBy(*group, "_range").agg(
+    totals = cut.groupBy(*same, "_range").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()], *last
     )
-    ahead = Window.partitionBy(*group).orderBy("_range")
+    ahead = Window.partitionBy(*same).orderBy("_range")
     earlier = ahead.rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *group, "_range",
+        *same, "_range",
         F.sum("_n").over(earlier).alias("_n"),
         *[F.sum(f"_sum_{n}").over(earlier).alias(f"_sum_{n}") for n in sums],
         *([F.lag("_last").over(ahead).alias("_last")] if previous else []),
     ).where(F.col("_n") > 0).drop("_n")
     # Ranges are contiguous, so only a range's first group can have begun
-    # before it: at most one row per range, whatever the size of the data.
-    out = local.join(F.broadcast(carried), [*group, "_range"], "left")
+    # before it: at most one row per range, whatever the size of the data. Spark
+    # broadcasts it while it is small; beyond that the join keeps the window's
+    # partitioning and does not move the rows again.
+    out = local.join(carried, [*same, "_range"], "left")
+
+    def total(n: str) -> Column:
+        zero = F.lit(0).cast(dict(out.dtypes)[n])
+        return F.when(F.col(n).isNotNull() | F.col(f"_sum_{n}").isNotNull(),
+                      F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_sum_{n}"), zero))
 
     return out.select(
         *df.columns,
-        *[(F.col(n) + F.coalesce(F.col(f"_sum_{n}"), F.lit(0))).alias(n) for n in sums],
+        *[total(n).alias(n) for n in sums],
         *[F.when(F.col("_before").isNotNull(), F.col("_before")[c]).otherwise(F.col("_last")[c]).alias(n)
           for n, c in previous.items()],
     )

@@ -66,10 +66,23 @@ def check_limit(n: int | None, default: int = DEFAULT_LIMIT, most: int = MAX_LIM
 
 
 def after_key(key: Column, row_id: Column, value: Column, last_id: Column, direction: str) -> Column:
-    """Rows that come after (value, last_id) in the order."""
+    """Rows that come after (value, last_id) in the order. NULL comes first in
+    ascending order and last in descending order."""
+    same = key.eqNullSafe(value)
     if check_direction(direction) == "asc":
-        return (key > value) | ((key == value) & (row_id > last_id))
-    return (key < value) | ((key == value) & (row_id < last_id))
+        return (key > value) | (value.isNull() & key.isNotNull()) | (same & (row_id > last_id))
+    return (key < value) | (value.isNotNull() & key.isNull()) | (same & (row_id < last_id))
+
+
+def first_of_each(df: DataFrame, group: str, order: list, n: int | None) -> DataFrame:
+    """Each group's first n rows, all with n None: `pos`, and `has_more` on every
+    row of a group that goes on. Each task keeps n + 1 before the shuffle."""
+    place = Window.partitionBy(group).orderBy(*order)
+    placed = df.withColumn("pos", F.row_number().over(place))
+    if n is None:
+        return placed.withColumn("has_more", F.lit(False))
+    some = placed.where(F.col("pos") <= n + 1)
+    return some.withColumn("has_more", F.max("pos").over(Window.partitionBy(group)) > n).where(F.col("pos") <= n)
 
 
 def _order(key: Column, direction: str, row_id: str = "id") -> list[Column]:
@@ -78,7 +91,7 @@ def _order(key: Column, direction: str, row_id: str = "id") -> list[Column]:
     return [key.desc_nulls_last(), F.desc(row_id)]
 
 
-def after(df: DataFrame, sort: str, direction: str, value: str | datetime | int, last_id: str) -> DataFrame:
+def after(df: DataFrame, sort: str, direction: str, value: str | datetime | int | None, last_id: str) -> DataFrame:
     """Rows behind a boundary. On a stored column the filter reaches the scan
     side of the aggregation; on a measure it follows it."""
     key = sort_key(sort)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionlake import vocabulary as V
 from sessionlake.functions.payload import MONEY, is_llm, with_payload
-from sessionlake.operators.scope import ALL, Scope, events_in, of_sessions, sessions_in
+from sessionlake.operators.scope import ALL, Scope, events_in, events_scoped, of_sessions, sessions_in
 
 COUNTS = ("llm_call_count", "tool_call_count")
 TOKENS = ("tokens_in_total", "tokens_out_total", "cache_write_tokens_total", "cache_read_tokens_total")
@@ -80,11 +80,15 @@ def published(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in (*COSTS, "price_total") if c in df.columns})
 
 
-def activity(events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None) -> DataFrame:
+def activity(
+    events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None, sessions: DataFrame | None = None
+) -> DataFrame:
     """The measures per session and, with `by`, per further key; and the
-    latest event's time."""
+    latest event's time. With the sessions given, events of sessions outside
+    the scope's session filters are left out before they are parsed and summed."""
     keys = [c.alias(n) for n, c in (by or {}).items()]
-    found = with_payload(events_in(events, scope))
+    found = events_in(events, scope) if sessions is None else events_scoped(events, sessions, scope)
+    found = with_payload(found)
     return found.groupBy("session_id", *keys).agg(*measures(), F.max("ts").alias("last_ts"))
 
 
@@ -95,7 +99,7 @@ def session_stats(sessions: DataFrame, events: DataFrame, scope: Scope = ALL) ->
     """
     how = "inner" if scope.filters_events else "left"
     s = sessions_in(sessions, scope)
-    a = activity(events, scope)
+    a = activity(events, scope, sessions=sessions)
     return zero_filled(s.join(a, s["id"] == a["session_id"], how).drop("session_id", "last_ts"))
 
 
@@ -107,9 +111,9 @@ def totals(stats: DataFrame) -> DataFrame:
 def scoped_activity(
     sessions: DataFrame, events: DataFrame, scope: Scope = ALL, by: dict[str, Column] | None = None
 ) -> DataFrame:
-    """`activity` of known sessions only. The join follows the sums unless the
-    sessions are few enough to broadcast; then Spark moves it before them."""
-    return of_sessions(activity(events, scope, by), sessions_in(sessions, scope))
+    """`activity` of known sessions only. A session filter is applied to the
+    events; that a session is known at all is asked of its sums."""
+    return of_sessions(activity(events, scope, by, sessions), sessions_in(sessions, scope))
 
 
 def last_activity(events: DataFrame, scope: Scope = ALL) -> DataFrame:

@@ -92,31 +92,47 @@ def attribute_tool_calls(messages: DataFrame, events: DataFrame, include_hidden:
     )
 
 
-def tool_results_with_events(messages: DataFrame, events: DataFrame) -> DataFrame:
-    """Each tool result with the events that carry its call id.
-
-    The events of an id are reduced to one row first, so an id that is reused
-    widens no result: it shows in the counts.
-    """
+def call_events(events: DataFrame) -> DataFrame:
+    """One row per event that reports a tool call: session_id, call_id, event_seq,
+    event_id, event_type, status. Events without a call id are left out."""
     of_calls = F.col("event_type").isin(V.TOOL_CALL_EXTRACTED, V.TOOL_CALL_RESULT)
-    is_result = F.col("event_type") == V.TOOL_CALL_RESULT
-    place = F.struct("seq", "id", "status")
-    per_call = (
+    return (
         events.where(of_calls)
         .select("session_id", "seq", "id", "event_type", json_fields(F.col("payload"), "call_id", "status").alias("p"))
-        .select("session_id", "seq", "id", "event_type", F.nullif("p.call_id", F.lit("")).alias("call_id"), "p.status")
+        .select("session_id", F.nullif("p.call_id", F.lit("")).alias("call_id"), F.col("seq").alias("event_seq"),
+                F.col("id").alias("event_id"), "event_type", F.col("p.status").alias("status"))
         .where(F.col("call_id").isNotNull())
-        .groupBy("session_id", "call_id")
-        .agg(
-            F.count_if(~is_result).alias("n_extracted"), F.count_if(is_result).alias("n_results"),
-            F.min(F.when(~is_result, place)).alias("_extracted"), F.min(F.when(is_result, place)).alias("_result"),
-        )
     )
-    results = messages.where(F.coalesce("tool_call_id", F.lit("")) != "").select(
-        "session_id", F.col("seq").alias("message_seq"), F.col("tool_call_id").alias("call_id")
+
+
+def _results(messages: DataFrame) -> DataFrame:
+    return messages.where(F.coalesce("tool_call_id", F.lit("")) != "").select(
+        "session_id", F.col("seq").alias("message_seq"), F.col("tool_call_id").alias("call_id"))
+
+
+def tool_result_events(messages: DataFrame, events: DataFrame) -> DataFrame:
+    """Every tool result with every event that carries its call id, one row each.
+
+    An id that is reused meets all its events in each of its results; use
+    `tool_results_with_events` where one row per result is enough.
+    """
+    return _results(messages).join(call_events(events), ["session_id", "call_id"])
+
+
+def tool_results_with_events(messages: DataFrame, events: DataFrame) -> DataFrame:
+    """Each tool result with the first events that carry its call id, and how many do.
+
+    The events of an id are reduced to one row first, so an id that is reused
+    widens no result: it shows in the counts, and `tool_result_events` lists all.
+    """
+    is_result = F.col("event_type") == V.TOOL_CALL_RESULT
+    place = F.struct("event_seq", "event_id", "status")
+    per_call = call_events(events).groupBy("session_id", "call_id").agg(
+        F.count_if(~is_result).alias("n_extracted"), F.count_if(is_result).alias("n_results"),
+        F.min(F.when(~is_result, place)).alias("_extracted"), F.min(F.when(is_result, place)).alias("_result"),
     )
-    return results.join(per_call, ["session_id", "call_id"]).select(
+    return _results(messages).join(per_call, ["session_id", "call_id"]).select(
         "session_id", "message_seq", "call_id", "n_extracted", "n_results",
-        F.col("_extracted.id").alias("extracted_id"), F.col("_result.id").alias("result_id"),
+        F.col("_extracted.event_id").alias("extracted_id"), F.col("_result.event_id").alias("result_id"),
         F.col("_result.status").alias("result_status"),
     )

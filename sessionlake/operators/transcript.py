@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake import vocabulary as V
-from sessionlake.functions.text import error_text, metadata_or_null
+from sessionlake.functions.text import error_excerpt, error_text, metadata_or_null
 from sessionlake.operators.ordered import numbered, running_max_by_seq
 from sessionlake.operators.scope import visible
 from sessionlake.operators.toolcalls import attribute_tool_calls
@@ -16,13 +16,14 @@ COLUMNS = ("session_id", "pos", "seq", "role", "content", "tool_calls", "tool_ca
 
 
 def error_rows(events: DataFrame) -> DataFrame:
-    """A message row per failed call, with seq 0. One whose time cannot be
-    parsed has no place and is left out."""
+    """A message row per failed call, with seq 0, and the whole excerpt of the
+    response, of which the content holds a short one only. A call whose time
+    cannot be parsed has no place and is left out."""
     failed = events.where((F.col("event_type") == V.LLM_ERROR) & F.col("ts").isNotNull())
     return failed.select(
         "session_id", F.col("seq").alias("event_seq"), F.lit(0).cast("bigint").alias("seq"),
         F.lit("error").alias("role"), error_text(F.col("payload")).alias("content"),
-        F.col("ts").alias("created_at"),
+        F.col("ts").alias("created_at"), error_excerpt(F.col("payload")).alias("excerpt"),
     )
 
 

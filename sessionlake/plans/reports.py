@@ -16,11 +16,11 @@ from sessionlake.operators.budget import budget_balance
 from sessionlake.operators.buckets import bucket_report, by_bucket, filled
 from sessionlake.operators.currency import activity_by_currency, currency_map, or_empty, with_costs
 from sessionlake.operators.events import event_rows, newest_events, session_rows
-from sessionlake.workspace import written
 from sessionlake.operators.paging import after, page_rows
 from sessionlake.operators.scope import ALL, Scope, of_sessions, sessions_in
 from sessionlake.operators.stats import cost_total, published, totals, zero_filled
 from sessionlake.operators.transcript import transcript
+from sessionlake.workspace import written
 
 
 def _kept(df: DataFrame, keep: bool) -> DataFrame:
@@ -61,7 +61,7 @@ def session_list(
     shared folder, so that the events are scanned once; without `keep` each of
     the two results scans them for itself.
     """
-    fine = _kept(activity_by_currency(events, scope), keep)
+    fine = _kept(activity_by_currency(events, scope, sessions=sessions), keep)
     stats = _with_stats(sessions, fine, scope)
     listed = after(stats, sort, direction, *after_row) if after_row else stats
     page = page_rows(listed, sort, direction, n)
@@ -102,8 +102,7 @@ def session_detail(
     chosen = sessions_in(sessions, scope)
     if scope.filters_sessions:
         messages, events = of_sessions(messages, chosen), of_sessions(events, chosen)
-    row = session_rows(chosen).join(
-        chosen.select("id", metadata_map(F.col("metadata")).alias("metadata")), "id")
+    row = session_rows(chosen, metadata_map(F.col("metadata")).alias("metadata"))
     stats = published(_with_stats(row, activity_by_currency(events), ALL))
     return SessionDetail(stats, transcript(messages, events, include_hidden), event_rows(events))
 
@@ -133,7 +132,7 @@ def event_stats(
     if bucket:
         check_bucket_window(scope.since, scope.until, bucket)
     by = {"event_type": F.col("event_type")} if by_type else by_bucket(bucket) if bucket else {}
-    fine = _kept(activity_by_currency(events, scope, by), keep)
+    fine = _kept(activity_by_currency(events, scope, by, sessions), keep)
     total = published(_with_total_costs(totals(_with_stats(sessions, fine, scope)), fine, sessions, scope))
     known = of_sessions(fine, sessions_in(sessions, scope))
     if bucket:

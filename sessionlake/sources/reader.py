@@ -25,10 +25,17 @@ class FileStore:
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         location = f"{self.path}/{table}"
         reader = spark.read.format(self.format).options(**self.options)
-        if self.format in ("parquet", "orc"):
-            # The files carry their own columns, so a store that lacks one is noticed.
-            return reader.load(location)
-        return reader.schema(text_schema(table) if self.text_times else TABLES[table]).load(location)
+        declared = text_schema(table) if self.text_times else TABLES[table]
+        if self.format not in ("parquet", "orc"):
+            return reader.schema(declared).load(location)
+        # The files carry their own columns: those of all files together tell
+        # whether the store has one, and files without it give NULL.
+        there = dict(reader.option("mergeSchema", "true").load(location).dtypes)
+        stored = [f for f in declared if f.name in there]
+        names = {f.name for f in stored}
+        return reader.schema(", ".join(
+            [f"`{f.name}` {there[f.name]}" for f in stored] + [f"`{n}` {t}" for n, t in there.items() if n not in names]
+        )).load(location)
 
 
 @dataclass(frozen=True)
@@ -37,7 +44,9 @@ class JdbcStore:
 
     `seq_bounds` splits messages and session_events by their sequence number.
     `slices` names disjoint SQL conditions that together cover a table, for
-    the tables without a number to split by.
+    the tables without a number to split by. Without either, a table would
+    come over one connection in one task, so it is refused, but for those named in
+    `whole`.
     """
 
     url: str
@@ -45,6 +54,7 @@ class JdbcStore:
     seq_bounds: tuple[int, int] | None = None
     partitions: int = 64
     slices: dict[str, list[str]] = field(default_factory=dict)
+    whole: tuple[str, ...] = ()
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         if table in self.slices:
@@ -55,6 +65,8 @@ class JdbcStore:
                 self.url, table, column="seq", lowerBound=low, upperBound=high,
                 numPartitions=self.partitions, properties=self.properties,
             )
+        if table not in self.whole:
+            raise ValueError(f"{table}: name slices for it, or seq_bounds, or list it in whole")
         return spark.read.jdbc(self.url, table, properties=self.properties)
 
 

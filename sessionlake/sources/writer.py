@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.operators.ordered import ranges_for
+
+ROWS_PER_FILE = 1 << 19
+
 
 def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Partition by day and cluster each day's files by session and sequence.
@@ -15,7 +19,7 @@ def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> N
     key = ["event_date", "session_id", "seq"]
     (
         events.withColumn("event_date", F.to_date("ts"))
-        .repartitionByRange(*key)
+        .repartitionByRange(ranges_for(events.count(), ROWS_PER_FILE), *key)
         .sortWithinPartitions(*key)
         .write.mode(mode).partitionBy("event_date").parquet(path)
     )
@@ -24,4 +28,4 @@ def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> N
 def write_messages(messages: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Cluster the messages by session and sequence."""
     key = ["session_id", "seq"]
-    messages.repartitionByRange(*key).sortWithinPartitions(*key).write.mode(mode).parquet(path)
+    messages.repartitionByRange(ranges_for(messages.count(), ROWS_PER_FILE), *key).sortWithinPartitions(*key).write.mode(mode).parquet(path)

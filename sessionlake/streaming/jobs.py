@@ -1,14 +1,14 @@
 """Streams that keep the event tail, the session statistics and the time
 buckets current.
 
-Each batch of a stream writes the folder of its own batch id, so a batch that
-runs again after a failure replaces what it wrote. Sums are written per batch
-and added up on reading: they hold no state in the stream, take events in any
-order of time, and never leave one out.
-
-Where the delivery may bring an event twice, `delay` names how late a copy can
-be: ids are then remembered for that long behind the latest event, and, as the
-price of it, an event later than that is left out.
+Each batch of a stream writes the folder of its own batch id. Readers take the
+folders that are complete, and a batch that runs again after a failure leaves a
+complete folder as it is. Sums are written per batch and added up on reading:
+they hold no state in the stream, take events in any order of time and without
+a time, and never leave one out. `compact` sums up the batches that are closed.
+
+Where the delivery may bring an event twice, `repeats` keeps the sums per event
+id, and copies are removed on reading, however late they are.
 """
 
 from __future__ import annotations
@@ -19,18 +19,42 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sessionlake.functions.payload import with_payload
 from sessionlake.functions.times import bucket_key
+from sessionlake.operators.ordered import ranges_for
 from sessionlake.operators.scope import of_sessions
 from sessionlake.operators.stats import measures, summed
+from sessionlake.workspace import removed
 
 
-def once_each(stream: DataFrame, delay: str | None) -> DataFrame:
-    """Events without the copies a repeated delivery brings."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"]) if delay else stream
+BATCHES, MERGED = "batch_id=", "merged_to="
+
+
+def _complete(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the complete folders of a kind."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(where)]
+    found = [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(n for n in found if fs.exists(done(f"{path}/{prefix}{n}/_SUCCESS")))
+
+
+def _parts(spark: SparkSession, path: str, to: int | None = None) -> list[str]:
+    """Folders that together hold every batch once, up to a number."""
+    merged = [n for n in _complete(spark, path, MERGED) if to is None or n <= to]
+    since = merged[-1] if merged else -1
+    batches = [n for n in _complete(spark, path, BATCHES) if n > since and (to is None or n <= to)]
+    return [f"{path}/{MERGED}{since}"] * bool(merged) + [f"{path}/{BATCHES}{n}" for n in batches]
 
 
 def _start(stream: DataFrame, write, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     def each(batch: DataFrame, batch_id: int) -> None:
-        write(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        done = _complete(spark, path, BATCHES) + _complete(spark, path, MERGED)[-1:]
+        # a complete folder holds the same rows: a batch's input is fixed before it first runs
+        if batch_id > max(done, default=-1):
+            write(batch).write.mode("overwrite").parquet(f"{path}/{BATCHES}{batch_id}")
 
     return (
         stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
@@ -38,43 +62,81 @@ def _start(stream: DataFrame, write, path: str, checkpoint: str, trigger: dict)
     )
 
 
-def start_tail(
-    stream: DataFrame, path: str, checkpoint: str, delay: str | None = None, **trigger
-) -> StreamingQuery:
+def _first_copies(df: DataFrame) -> DataFrame:
+    """One row per id; rows without an id stay."""
+    return df.where("id is not null").dropDuplicates(["id"]).unionByName(df.where("id is null"))
+
+
+def start_tail(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append new events, each batch in session and sequence order. The
     checkpoint is the read position: what was seen is not read again."""
     def in_order(batch):
-        return batch.repartitionByRange("session_id", "seq").sortWithinPartitions("session_id", "seq")
+        ranges = ranges_for(batch.count())
+        return batch.repartitionByRange(ranges, "session_id", "seq").sortWithinPartitions("session_id", "seq")
 
-    return _start(once_each(stream, delay), in_order, path, checkpoint, trigger)
+    return _start(stream, in_order, path, checkpoint, trigger)
 
 
-def read_tail(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch_id")
+def read_tail(spark: SparkSession, path: str, repeats: bool = False) -> DataFrame:
+    """All events so far; with `repeats`, one of each that was delivered twice."""
+    found = spark.read.parquet(*_parts(spark, path))
+    return _first_copies(found) if repeats else found
 
 
 def start_activity(
-    stream: DataFrame, path: str, checkpoint: str, delay: str | None = None, **trigger
+    stream: DataFrame, path: str, checkpoint: str, repeats: bool = False, **trigger
 ) -> StreamingQuery:
     """Append each batch's sums per day and session. They serve the statistics
-    of sessions and, since every bucket is made of days, all granularities."""
+    of sessions and, since every bucket is made of days, all granularities.
+    With `repeats` the sums are per event id as well."""
     def sums(batch):
-        days = with_payload(batch).groupBy(F.window("ts", "1 day").alias("w"), "session_id").agg(*measures())
-        return days.withColumn("day", F.col("w.start")).drop("w")
-
-    return _start(once_each(stream, delay), sums, path, checkpoint, trigger)
+        day = F.date_trunc("day", F.col("ts")).alias("day")
+        one = [F.col("id")] if repeats else []
+        return with_payload(_first_copies(batch) if repeats else batch).groupBy(day, "session_id", *one).agg(*measures())
+
+    return _start(stream, sums, path, checkpoint, trigger)
+
+
+def _sums(spark: SparkSession, parts: list[str]) -> DataFrame:
+    found = spark.read.parquet(*parts)
+    return _first_copies(found) if "id" in found.columns else found
+
+
+def compact(spark: SparkSession, path: str) -> int | None:
+    """Sum up all batches of an activity but the latest, which may run again.
+    Returns the number up to which they are summed, None when there is nothing to do.
+
+    Readers go on with the folders they have listed: those that an earlier call
+    summed up are removed, those of this call stay until the next one.
+    """
+    batches = _complete(spark, path, BATCHES)
+    merged = _complete(spark, path, MERGED)
+    if len(batches) < 2 or batches[-2] <= max(merged, default=-1):
+        return None
+    to = batches[-2]
+    found = _sums(spark, _parts(spark, path, to))
+    if "id" not in found.columns:
+        found = found.groupBy("day", "session_id").agg(*summed())
+    found.write.mode("overwrite").parquet(f"{path}/{MERGED}{to}")
+    if merged:
+        for n in merged[:-1]:
+            removed(spark, f"{path}/{MERGED}{n}")
+        for n in batches:
+            if n <= merged[-1]:
+                removed(spark, f"{path}/{BATCHES}{n}")
+    return to
 
 
 def read_session_stats(spark: SparkSession, path: str) -> DataFrame:
     """Current statistics per session."""
-    return spark.read.parquet(path).groupBy("session_id").agg(*summed())
+    return _sums(spark, _parts(spark, path)).groupBy("session_id").agg(*summed())
 
 
 def read_buckets(spark: SparkSession, path: str, granularity: str, sessions: DataFrame | None = None) -> DataFrame:
     """Current buckets, of all sessions or of the given ones. Their rows are per
     session first, so a count of them is the exact number of sessions, which a
-    stream could not count by itself."""
-    per_session = spark.read.parquet(path).groupBy(
+    stream could not count by itself. Events without a time are in the bucket NULL."""
+    per_session = _sums(spark, _parts(spark, path)).groupBy(
         bucket_key(F.col("day"), granularity).alias("bucket"), "session_id"
     ).agg(*summed())
     if sessions is not None:

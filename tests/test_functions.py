@@ -113,7 +113,9 @@ def test_stored_call_ids(spark):
         '[{"id":"k1","id":"k2"}]': ["k2"],
         "": None, "   ": None, "null": None, "[]": None, "[ ]": None, "oops": None, '{"id":"k1"}': None,
         '[{"id":"k1"},{"name":"x"}]': None, '[{"id":""}]': None, '[{"id":5}]': None, '[{"id":null}]': None,
-        '["k1"]': None, "[null]": None, '[{"id":"k1"}': None, '[{"id":"k1"}] x': None,
+        '["k1"]': None, "[null]": None, '[{"id":"k1"}': None, '[{"id":"k1"}] x': None, '[{"id":"a"}] junk]': None,
+        '[{"id":"a"}],[{"id":"b"}]': None, '[{"id":"a"}],"x":[{"id":"b"}]': None, '[{"id":"a"}],[]],[[]': None,
+        '[{"id":"a"}]],[[{"id":"b"}]': None,
     }
     assert apply(spark, calls.stored_call_ids, [*cases, None]) == [*cases.values(), None]
 
@@ -172,6 +174,7 @@ def test_error_text(spark):
 
 def test_metadata_gate(spark):
     cases = {' {"a": 1.50} ': '{"a": 1.50}', "[1]": "[1]", '"x"': '"x"', "7": "7", "": None, " \t": None, "null": None,
+             '{"a":1}],[{"b":2}': None, '{"a":1},"x":2': None, '{"a":1}],["end"': None, '{"a":1}]],[["b"': None,
              "{}": None, "{bad": None, '{"a":1} x': None, '{"a":1},2': None, "a": None}
     assert apply(spark, text.metadata_or_null, [*cases, None]) == [*cases.values(), None]
 
@@ -179,7 +182,7 @@ def test_metadata_gate(spark):
 def test_trimming_is_unicode(spark):
     assert apply(spark, text.trimmed, [" \t a b  \n", "　", "x"]) == ["a b", "", "x"]
     assert text.trim(" \t a b  \n") == "a b"
-    assert text.search_term("  " + "ß" * 300) == "ß" * 200
+    assert text.search_term("  " + "ß" * 300) == "ß" * 300
 
 
 def test_titles_match_literally(spark):

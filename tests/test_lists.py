@@ -187,11 +187,65 @@ def test_replay_keeps_bodies_and_pairs(spark):
     for bad in (0, 501):
         with pytest.raises(ValueError):
             replay.debug_replay(d, bad)
+    assert {r["session_id"]: r["has_more"] for r in replay.debug_replay(d, 2).collect()} == {"s": True, "r": False}
     for ranges in (1, 4):
         pairs = {r["response_id"]: r["request_id"] for r in replay.debug_pairs(d, ranges).collect()}
         assert pairs == {"d2": "d1", "d4": None, "d0": None}
 
 
+def test_a_long_session_is_replayed_whole(spark):
+    d = spark.range(1300).select(
+        F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("id"), F.lit("s").alias("session_id"),
+        F.lit(None).cast("string").alias("trace_id"), F.when(F.col("id") % 3 != 0, F.timestamp_seconds(F.col("id") / 4)).alias("ts"),
+        F.lit("request").alias("direction"), F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("url"),
+        F.lit("{}").alias("body"))
+    whole = [r["id"] for r in replay.debug_replay(d, None).orderBy("pos").collect()]
+    assert len(whole) == 1300
+    walked, where = [], spark.createDataFrame([("s", None, None)], "session_id string, after_ts timestamp, after_id string")
+    for _ in range(3):
+        rows = replay.debug_replay(d, 500, where).orderBy("pos").collect()
+        walked += [r["id"] for r in rows]
+        assert {r["has_more"] for r in rows} == {len(walked) < 1300}
+        where = spark.createDataFrame([("s", rows[-1]["ts"], rows[-1]["id"])], where.schema)
+    assert walked == whole
+    e = spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("s").alias("session_id"), F.col("id").alias("seq"), *[
+        F.lit(None).cast(t).alias(c) for c, t in (("ts", "timestamp"), ("event_type", "string"), ("parent_id", "string"),
+                                                   ("duration_ms", "long"))])
+    p = spark.createDataFrame([("s", 9)], "session_id string, since_seq long")
+    assert ev.tail(e, p, None, include_payload=False).count() == 290
+    assert {r["has_more"] for r in ev.tail(e, p, 200, include_payload=False).collect()} == {True}
+
+
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_a_walk_with_null_keys_is_complete(spark, direction):
+    s = spark.range(17).select(
+        F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("id"),
+        F.when(F.col("id") % 3 != 0, F.timestamp_seconds(F.col("id") % 4)).alias("created_at"))
+    listed = [r["id"] for r in paging.page_rows(s, "created_at", direction, 200).orderBy("pos").collect()]
+    assert len(listed) == 17
+    walked, token, ends = [], "", []
+    while True:
+        got = paging.page(s, "created_at", direction, token, 3)
+        walked += [r["id"] for r in got.rows]
+        if not got.next_token:
+            break
+        ends.append(got.rows[-1]["id"])
+        token = got.next_token
+    assert walked == listed
+    index = paging.page_index(s, "created_at", direction, 3, ranges=4).orderBy("page").collect()
+    assert [r["id"] for r in index][:len(ends)] == ends
+
+
+def test_session_filters_come_before_the_parse(spark, listed):
+    _, s, e = listed
+    scope = Scope(group_id="g1")
+    for df in (stats.session_stats(s, e, scope), stats.scoped_activity(s, e, scope), reports.session_list(s, e, scope, keep=False).rows):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        semi, parse = plan.rindex("Join LeftSemi"), plan.index("from_json")
+        # plans print from the top: a semi join stands below the aggregate and the parse
+        assert plan.index("Aggregate") < semi and parse < semi
+
+
 def test_prompts(spark):
     content = "Be kind."
     import hashlib

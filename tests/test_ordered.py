@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlake.operators.ordered import numbered, running, running_max_by_seq
+from sessionlake.operators.ordered import numbered, ranges_for, running, running_max_by_seq
 
 
 def rows_with_a_hot_group(n=3000, seed=3):
@@ -34,6 +34,27 @@ def test_running_values(spark, ranges, descending):
     assert got == want
 
 
+@pytest.mark.parametrize("ranges", [1, 6, 15])
+@pytest.mark.parametrize("kind", ["string", "int", "timestamp", "date", "boolean", "decimal(9,2)"])
+def test_null_groups_and_addends(spark, ranges, kind):
+    rng = random.Random(ranges)
+    rows = [(rng.choice([None, 0, 1]), i, rng.choice([None, None, 1, 2])) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, id int, x int").withColumn("n", F.col("g"))
+    value = {"timestamp": F.timestamp_seconds("g"), "date": F.date_from_unix_date("g")}.get(kind, F.col("g").cast(kind))
+    got = running(df.withColumn("g", value), ["g"], ["id"], sums={"total": F.col("x")}, previous={"before": "id"}, ranges=ranges)
+    want, state = {}, {}
+    for g, i, x in rows:
+        total, before = state.get(g, (None, None))
+        total = total if x is None else (total or 0) + x
+        want[i] = (total, before)
+        state[g] = (total, i)
+    assert {r["id"]: (r["total"], r["before"]) for r in got.collect()} == want
+
+
+def test_ranges_grow_with_the_rows():
+    assert [ranges_for(n) for n in (0, 1, 1 << 16, (1 << 16) + 1, 1 << 26)] == [1, 1, 1, 2, 1024]
+
+
 @pytest.mark.parametrize("ranges", [1, 9])
 def test_numbering_without_a_group(spark, ranges):
     rows = [(i * 7919 % 1000, f"r{i}") for i in range(1500)] + [(None, "z"), (None, "y")]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sessionlake.operators import paging, stats
 from sessionlake.operators.scope import Scope, events_in, sessions_in
 from sessionlake.plans import reports
-from sessionlake.sources.reader import FileStore, read_model, table_counts
+from sessionlake.sources.reader import FileStore, JdbcStore, read_model, table_counts
 from sessionlake.sources.schema import TABLES, MissingColumns, text_schema
 from sessionlake.sources.writer import write_events, write_messages
 from tests.tables import DEFAULTS, by, events, messages, sessions, table
@@ -62,6 +62,24 @@ def test_an_old_store_is_named(spark, tmp_path):
         reports.budget_report(model.profile_usage, "2025-01-01T00:00:00Z")
 
 
+def test_files_of_several_ages_make_one_table(spark, tmp_path):
+    for name in TABLES:
+        raw(spark, name).write.parquet(f"{tmp_path}/{name}")
+    old = raw(spark, "profile_usage").withColumn("id", F.lit("u0")).drop("price")
+    for last in ("a", "z"):  # whichever file name sorts first
+        old.coalesce(1).write.parquet(f"{tmp_path}/old{last}")
+        part = next((tmp_path / f"old{last}").glob("part-*.parquet"))
+        (tmp_path / "profile_usage" / f"{'0' if last == 'a' else 'zz'}-{part.name}").write_bytes(part.read_bytes())
+    u = read_model(spark, FileStore(str(tmp_path), text_times=True)).profile_usage
+    assert sorted((r["id"], r["price"]) for r in u.collect()) == sorted([("u0", None), ("u0", None), ("u1", 1.5)], key=str)
+
+
+def test_a_database_table_is_read_in_slices():
+    store = JdbcStore("jdbc:none", seq_bounds=(0, 9))
+    with pytest.raises(ValueError, match="sessions: name slices"):
+        store.read(None, "sessions")
+
+
 def scans(df):
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
 

@@ -210,6 +210,15 @@ def test_a_reused_id_does_not_multiply_results(spark):
     assert len(rows) == 50
     assert {(r["n_extracted"], r["n_results"], r["extracted_id"], r["result_id"], r["result_status"]) for r in rows} == {
         (30, 30, "x01", "x02", "ok")}
+    every = toolcalls.tool_result_events(m, e)
+    assert every.count() == 50 * 60
+    assert sorted(r["event_id"] for r in every.where("message_seq = 7").collect()) == [f"x{i:02d}" for i in range(1, 61)]
+
+
+def test_an_error_keeps_its_whole_excerpt(spark):
+    e = events(spark, dict(id="x", session_id="s", seq=1, event_type="llm_error", payload=failed("y" * 900)))
+    row = transcript.error_rows(e).first()
+    assert row["excerpt"] == "y" * 900 and row["content"] == "[LLM error] The request could not be completed."
 
 
 def test_the_detail_report(spark):
