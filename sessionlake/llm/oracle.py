@@ -81,4 +81,26 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
-SQL: dict[str, str] = {"op2_quality_rules": _QUALITY, "op8_source_mix": _MIX}
+_SQUARE = r"/?(?:SYS|INST|ANS|ROLE)|NEXT|:"
+_ESCAPED = rf"regexp_replace(regexp_replace({{0}}, '\[(\\*)({_SQUARE})\]', '[\\\1\2]', 'g'), '<(\\*)(/?s)>', '<\\\1\2>', 'g')"
+_MARKS = "CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE {named} END"
+
+_CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS goes_on,
+    {_ESCAPED.format("text")} AS body, {_ESCAPED.format("role")} AS name
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(len(body) + CASE WHEN goes_on THEN 6 ELSE {_MARKS.format(named="len(name) + 16")} END))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op4_chat_format": _CHAT, "op2_quality_rules": _QUALITY, "op8_source_mix": _MIX}
