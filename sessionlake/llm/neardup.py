@@ -11,9 +11,9 @@
    sizes, the joint likelihood of a similarity. A pair goes on unless the wanted
    similarity is out of the question (`DOUBT`).
 5. The pair is confirmed on full sets, and links are joined to components.
-6. Where a band's classes still lie in different components, the pairs across
-   components are compared too, but for those that the numbers of their shingles found
-   nowhere else rule out. So no link is lost to step 3.
+6. Of the classes that were compared with one hub, those that do not lie in its
+   component are compared with all others of them, exactly, in blocks of bounded size. So no
+   link is lost to step 3, and no pairs are written but links.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ BAND = 4
 BASE, RATE, Q = 1.001, 20.0, 65534
 #: Nats by which the wanted similarity may be less likely than the best one: six standard deviations.
 DOUBT = 18.0
+REST_BLOCK, MEMBER_BLOCK = 256, 1024
 
 _seeds = mix(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _seeds[:M], _seeds[M:] | np.uint64(1)
@@ -132,29 +134,53 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
     return shared.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("u", "v")
 
 
-def _across(named: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of classes of one band in different components that may be similar enough.
-
-    A class shares with any other at most those of its shingles that some other class of
-    these bands has. With the set sizes that bounds the similarity of a pair, and rules out
-    the many copies of a family that changed too much to link to any other copy.
-    """
-    ids = named.select("id").distinct()
-    sets = written(docs.join(ids, "id", "left_semi").mapInArrow(
+def _compared(rest: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the rows of two blocks with different labels, one for each row of
+    `rest` and label. Shared shingles are counted by looking each up among the members'."""
+    u, v = [], []
+    if len(rest) and len(members):
+        sizes = members["s"].map(len).to_numpy()
+        owner = np.repeat(np.arange(len(members)), sizes)
+        tokens = np.concatenate(members["s"].to_numpy())
+        order = np.argsort(tokens, kind="stable")
+        owner, tokens = owner[order], tokens[order]
+        labels, ids = members["label"].to_numpy(), members["id"].to_numpy()
+        for x, label, own in zip(rest["id"], rest["label"], rest["s"]):
+            begin, end = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+            n = end - begin
+            at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(members))
+            linked = (100 * shared >= percent * (sizes + len(own) - shared)) & (labels != label)
+            near = np.flatnonzero(linked)
+            near = near[np.unique(labels[near], return_index=True)[1]]
+            u += [x] * len(near)
+            v += ids[near].tolist()
+    return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+
+
+def _across(family: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across components, within the families (hub, id, label, main) of classes that
+    were all compared with one hub: those that are not in its component against all,
+    exactly, in blocks. Only links leave the blocks."""
+    spread = family.groupBy("hub").agg(
+        F.count_if(F.col("label") != F.col("main")).alias("n_rest"), F.count(F.lit(1)).alias("n")).where("n_rest > 0 and n > 1")
+    grid = written(spread.select(
+        "hub", F.ceil(F.col("n_rest") / REST_BLOCK).alias("rest_blocks"), F.ceil(F.col("n") / MEMBER_BLOCK).alias("member_blocks")), "grid")
+    family = family.join(grid, "hub")
+    sets = written(docs.join(family.select("id").distinct(), "id", "left_semi").mapInArrow(
         lambda b: _sets(b, width), "id long, s array<long>"), "sets")
-    each = sets.select("id", F.explode("s").alias("s"))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("in")).where("in > 1")
-    shared = each.join(common, "s").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    bound = written(sets.select("id", F.size("s").cast("long").alias("n")).join(shared, "id").where(
-        100 * F.col("c") >= percent * F.col("n")), "bounds")
-    named = named.join(bound, "id")
-    rest = named.where("label <> main").select("band", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "c")])
-    most = F.least("c", "x_c")
-    pairs = rest.join(named, "band").where(
-        (F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_id") < F.col("id")))
-        & (100 * most >= percent * (F.col("n") + F.col("x_n") - most)))
-    return written(pairs.select(
-        F.greatest("x_id", "id").alias("u"), F.least("x_id", "id").alias("v")).distinct(), "across")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """One copy of each row in its own block for every block of the other side."""
+        placed = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}s"))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)))
+        placed = placed.select("hub", "rest_block", "member_block", "id", "label").join(sets, "id")
+        return placed.select(*[F.col(c).alias(c) for c in placed.columns])  # new columns for each side
+
+    cell = ["hub", "rest_block", "member_block"]
+    rest = dealt(family.where("label <> main"), "rest_block", "member_block").groupBy(*cell)
+    members = dealt(family, "member_block", "rest_block").groupBy(*cell)
+    return rest.cogroup(members).applyInPandas(lambda r, m: _compared(r, m, percent), "u long, v long")
 
 
 def near_duplicates(
@@ -196,16 +222,13 @@ def near_duplicates(
     links = written(_links(star, nodes, texts, width, percent), "near")
     found = components(links)
 
-    label = F.coalesce("label", "id").alias("label")
-    named = hits.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "hub", label)
-    split = named.groupBy("band").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"),
-        F.max(F.when(F.col("id") == F.col("hub"), F.col("label"))).alias("main")).where("low <> high").select("band", "main")
-    named = written(named.where("id <> hub").join(split, "band"), "split")
-    if not named.isEmpty():
-        across = _across(named, texts, width, percent)
-        links = written(links.unionByName(_links(across, nodes, texts, width, percent)), "near")
-        found = components(links)
+    label = found.withColumnRenamed("node", "id")
+    main = found.select(F.col("node").alias("hub"), F.col("label").alias("main"))
+    family = hits.where("size > 2 and id <> hub").select("hub", "id").distinct().join(label, "id", "left").join(main, "hub", "left")
+    family = written(family.select(
+        "hub", "id", F.coalesce("label", "id").alias("label"), F.coalesce("main", "hub").alias("main")), "family")
+    links = written(links.unionByName(_across(family, texts, width, percent)), "near")
+    found = components(links)
 
     grouped = member.join(found.withColumnRenamed("node", "class"), "class", "left").select(
         "id", "text_hash", "n", F.coalesce("label", "class").alias("component_id"))
