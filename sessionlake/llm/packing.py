@@ -10,6 +10,7 @@ the classes bound. These are packed first-fit, longest first.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,17 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.llm.tokencount import tokenizer
+from sessionlake.llm.tokencount import MARKS, byte_letters, tokenizer
 from sessionlake.workspace import written
 
 CAPACITY = 2048
 END_ID = 1
 #: Tokens of padding that one more cut must save.
 CUT_COST = 8
-#: Pieces of a class that one worker fills.
-PER_WORKER = 2000
+#: Pieces of a class that one worker fills, and sequences at least, so that few are left over.
+PER_WORKER, LEAST_FILLED = 2000, 16
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 def classes(capacity: int = CAPACITY) -> list[int]:
@@ -62,34 +63,68 @@ class Ids:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     The tokenizer's words never hold white space, so a text's ids are those of its runs of
-    other characters, one after another. Runs are remembered; unknown ones are encoded
-    together, divided by a special token that no run holds.
+    other characters, one after another. Runs are remembered. A new run of letters is one
+    word of the tokenizer's pattern and goes to its model, marks behind it are another; other new runs are encoded together, divided by a special token that no run holds.
     """
 
     def __init__(self, path: str, remembered: int):
         self.own, self.most, self.known = tokenizer(path), remembered, {}
+        self.model, self.normal, self.letters = self.own.model, self.own.normalizer, byte_letters()
         added = self.own.get_added_tokens_decoder()
         self.mark_id = min(added, default=None)
         self.mark = added[self.mark_id].content if added else None
         self.special = [t.content.encode() for t in added.values()]
 
+    def _word(self, run: bytes) -> bytes | None:
+        """Ids of a run that is one word, None if it may be more."""
+        if run.isalpha():  # ASCII letters
+            word = run.lower().decode()
+        else:
+            text = run.decode()
+            if not text.isalpha():
+                return None
+            # composed letters that change case one by one need no normalizer
+            text = text.lower() if max(text) < "\u0250" else self.normal.normalize_str(text)
+            if not text.isalpha():
+                return None
+            word = "".join([self.letters[b] for b in text.encode()])
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, runs: list[bytes]) -> None:
         if len(self.known) + len(runs) > self.most:
             self.known.clear()
-        odd = [r for r in runs if self.mark is None or any(s in r for s in self.special)]
-        for r in odd:
-            ids = self.own.encode(r.decode(), add_special_tokens=False).ids
-            self.known[r] = np.array(ids, dtype="<u4").tobytes()
-        plain = [r for r in runs if r not in self.known]
+        plain = []
+        for r in runs:
+            word = r.rstrip(MARKS)
+            ids = self._word(word) if word else None
+            if ids is not None and len(word) < len(r):
+                stops = r[len(word):]
+                if stops not in self.known:
+                    self._encode([stops])
+                ids += self.known[stops]
+            if ids is not None:
+                self.known[r] = ids
+            elif self.mark is None or any(s in r for s in self.special):
+                found = self.own.encode(r.decode(), add_special_tokens=False).ids
+                self.known[r] = np.array(found, dtype="<u4").tobytes()
+            else:
+                plain.append(r)
         for at in range(0, len(plain), 500):
-            part = plain[at:at + 500]
-            text = self.mark.join(r.decode() for r in part)
-            ids = np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            data, begin = ids.tobytes(), 0
-            for r, end in zip(part, ends.tolist()):
-                self.known[r] = data[4 * begin: 4 * end]
-                begin = end + 1
+            self._encode(plain[at:at + 500])
+
+    def _encode(self, part: list[bytes]) -> None:
+        if self.mark is None:
+            for r in part:
+                self.known[r] = np.array(self.own.encode(r.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return
+        text = self.mark.join(r.decode() for r in part)
+        ids = np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        data, begin = ids.tobytes(), 0
+        for r, end in zip(part, ends.tolist()):
+            self.known[r] = data[4 * begin: 4 * end]
+            begin = end + 1
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         runs = [(t or "").encode().split() for t in texts]
@@ -168,7 +203,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     done, turn = None, 1
     while True:
         counts = left.groupBy("k").count()
-        workers = F.ceil(F.col("count") / PER_WORKER)
+        workers = F.ceil(F.col("count") / F.greatest(F.lit(PER_WORKER), LEAST_FILLED * F.col("k")))
         most = counts.agg(F.max(workers)).first()[0]
         if most is None:
             break

@@ -21,6 +21,8 @@ CHUNK = 1 << 15
 OVERLAP = 256
 #: Characters that one call of the tokenizer gets, so that its memory is bounded.
 BATCH = 1 << 20
+#: ASCII characters that are neither letters, digits nor white space: side by side they are one word.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 @cache
@@ -64,6 +66,14 @@ def spliced(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> li
         done, begin, current = meet, ahead, following
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones
+    for themselves, the others by place from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
 def _counts(batches: Iterator[pa.RecordBatch], path: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
     own = tokenizer(path)
 

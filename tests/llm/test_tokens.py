@@ -21,7 +21,7 @@ def some_texts(n=120):
              "...", "\n\n", "  ", "\t", "can't", "#$%", " "]
     long = " ".join(rng.choice(parts) for _ in range(9000))
     return [None, "", " ", "x" * 5000, long, "a " * 2047, "a " * 2048] + [
-        "".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(400))) for _ in range(n)]
+        "".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n", ". ", ","]) for _ in range(rng.randrange(400))) for _ in range(n)]
 
 
 @pytest.fixture(scope="module")
