@@ -117,7 +117,7 @@ def _plausible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
             yield part.filter(pa.array(may_reach(*r, *n, least)))
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (u, v) of classes, those whose full sets are similar enough."""
     def side(i: str, r: str, n: str) -> DataFrame:
         return nodes.select(F.col("id").alias(i), F.col("regs").alias(r), F.col("n").alias(n))
@@ -125,9 +125,6 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
     known = pairs.join(side("u", "ra", "na"), "u").join(side("v", "rb", "nb"), "v")
     likely = written(known.mapInArrow(
         lambda b: _plausible(b, percent / 100), "u long, v long, na long, nb long"), "pairs")
-    ids = likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))).distinct()
-    sets = written(docs.join(ids, "id", "left_semi").mapInArrow(
-        lambda b: _sets(b, width), "id long, s array<long>"), "sets")
     both = likely.join(sets.select(F.col("id").alias("u"), F.col("s").alias("sa")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("s").alias("sb")), "v")
     shared = both.select("u", "v", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
@@ -158,7 +155,7 @@ def _compared(rest: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.Dat
     return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
 
 
-def _across(family: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components, within the families (hub, id, label, main) of classes that
     were all compared with one hub: those that are not in its component against all,
     exactly, in blocks. Only links leave the blocks."""
@@ -167,8 +164,6 @@ def _across(family: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     grid = written(spread.select(
         "hub", F.ceil(F.col("n_rest") / REST_BLOCK).alias("rest_blocks"), F.ceil(F.col("n") / MEMBER_BLOCK).alias("member_blocks")), "grid")
     family = family.join(grid, "hub")
-    sets = written(docs.join(family.select("id").distinct(), "id", "left_semi").mapInArrow(
-        lambda b: _sets(b, width), "id long, s array<long>"), "sets")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         """One copy of each row in its own block for every block of the other side."""
@@ -218,8 +213,11 @@ def near_duplicates(
         F.max(F.struct("central", (-F.col("id")).alias("negative"))).alias("h")).select(
         "band", (-F.col("h.negative")).alias("hub"))
     hits = written(hits.join(hub, "band"), "hubs")
+    # the only time that texts move
+    sets = written(texts.join(hits.select("id").distinct(), "id", "left_semi").mapInArrow(
+        lambda b: _sets(b, width), "id long, s array<long>"), "sets")
     star = hits.where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
-    links = written(_links(star, nodes, texts, width, percent), "near")
+    links = written(_links(star, nodes, sets, percent), "near")
     found = components(links)
 
     label = found.withColumnRenamed("node", "id")
@@ -227,7 +225,7 @@ def near_duplicates(
     family = hits.where("size > 2 and id <> hub").select("hub", "id").distinct().join(label, "id", "left").join(main, "hub", "left")
     family = written(family.select(
         "hub", "id", F.coalesce("label", "id").alias("label"), F.coalesce("main", "hub").alias("main")), "family")
-    links = written(links.unionByName(_across(family, texts, width, percent)), "near")
+    links = written(links.unionByName(_across(family, sets, percent)), "near")
     found = components(links)
 
     grouped = member.join(found.withColumnRenamed("node", "class"), "class", "left").select(
