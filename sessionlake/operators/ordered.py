@@ -114,9 +114,10 @@ def running_max_by_seq(df: DataFrame, value: str, name: str, rows: int = ROWS_PE
     """Add the greatest value so far within the session, by seq.
 
     A sequence number is unique in its session, so a stretch of `rows` numbers
-    bounds a task without looking at the data.
+    bounds a task without looking at the data. df is written once, as it is
+    read for the stretches' own values and for the running ones.
     """
-    cut = df.withColumn("_stretch", F.floor(F.col("seq") / rows))
+    cut = written(df.withColumn("_stretch", F.floor(F.col("seq") / rows)))
     to_row = Window.partitionBy("session_id", "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("session_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
