@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +28,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str = "table", lasting: bool = False) -> DataFrame:
     """df as a table in the shared folder: computed once, the same for every
-    reader, and still there after an executor is lost."""
+    reader, and still there after an executor is lost. Inside `scratch` it is
+    removed at the end unless it is lasting."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if _scratch and not lasting:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables written in the block when it ends. What the block
+    returns must not read them: write it as a lasting table."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            removed(spark, path)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that no DataFrame reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
