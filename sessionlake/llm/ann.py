@@ -28,12 +28,14 @@ from sessionlake.workspace import written
 
 TREES = 12
 #: Rows that a leaf should hold.
-LEAF = 128
+LEAF = 256
 #: Rows that the trees are fitted on, at most about.
 SAMPLE = 100_000
 #: Sample rows that a leaf needs at least; more rows than the sample allows make larger leaves.
 LEAST = 8
-BLOCK = 2048
+BLOCK = 1024
+#: Leaves of a query that are compared first.
+FIRST = 24
 SEED = 7
 
 
@@ -97,28 +99,30 @@ def _matrix(vectors: pa.Array | pd.Series, dim: int) -> np.ndarray:
 
 
 def _compared(rows: pd.DataFrame, queries: pd.DataFrame, dim: int, k: int) -> pd.DataFrame:
-    """Each query's k nearest of these rows; ties to the smaller id. Products are summed
-    component by component, so equal vectors score equally wherever they are."""
-    out = []
+    """Each query's k nearest of these rows, as far as they score at least its `least`; ties
+    to the smaller id. Products are summed component by component, so equal vectors score
+    equally wherever they are."""
+    out = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
     if len(rows) and len(queries):
         rows = rows.sort_values("vec_id", kind="stable")
         ids, r = rows["vec_id"].to_numpy(), np.ascontiguousarray(_matrix(rows["v"], dim).T)
-        for q_id, q in zip(queries["query_id"], _matrix(queries["q"], dim)):
-            score = np.zeros(len(ids))
-            for j in range(dim):
-                score += q[j] * r[j]
-            score = np.where(ids == q_id, -np.inf, score)
-            best = np.argsort(-score, kind="stable")[:k] if len(score) <= 4 * k else _top(score, k)
-            best = best[score[best] > -np.inf]
-            out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[best], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({
-        "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    least = np.partition(score, len(score) - k)[len(score) - k]
-    near = np.flatnonzero(score >= least)
-    return near[np.argsort(-score[near], kind="stable")[:k]]
+        asked, q = queries["query_id"].to_numpy(), np.ascontiguousarray(_matrix(queries["q"], dim).T)
+        score, part = np.zeros((len(asked), len(ids))), np.empty((len(asked), len(ids)))
+        for j in range(dim):
+            np.multiply(q[j][:, None], r[j][None], out=part)
+            score += part
+        score[asked[:, None] == ids[None]] = -np.inf
+        if len(ids) > k:  # what is below the k-th score is out
+            kth = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            score[score < kth[:, None]] = -np.inf
+        at, found = np.nonzero((score > -np.inf) & (score >= queries["least"].to_numpy()[:, None]))
+        values = score[at, found]
+        order = np.lexsort((found, -values, at))
+        at, found, values = at[order], found[order], values[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        few = place < k
+        out = {"query_id": asked[at[few]], "vec_id": ids[found[few]], "score": values[few]}
+    return pd.DataFrame(out)
 
 
 def nearest(
@@ -180,10 +184,29 @@ def nearest(
                 v = np.array(q)
                 found = reached(forest.value, shared.value, np.append(v, 0.0).astype(np.float32), budget)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(found, pa.int64()), pa.array([q_id] * len(found), pa.int64()),
-                    pa.array([v.tobytes()] * len(found), pa.binary())], names=["leaf", "query_id", "q"])
+                    pa.array(found, pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([q_id] * len(found), pa.int64()),
+                    pa.array([v.tobytes()] * len(found), pa.binary())], names=["leaf", "turn", "query_id", "q"])
+
+    asked = written(asked.mapInArrow(probes, "leaf long, turn long, query_id long, q binary"), "probes")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    asked = written(asked.mapInArrow(probes, "leaf long, query_id long, q binary"), "probes")
+    def best(near: DataFrame) -> DataFrame:
+        once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    # the first leaves set a score that a row of the others must reach
+    first = written(best(_in_cells(
+        index, asked.where(F.col("turn") < FIRST).withColumn("least", F.lit(float("-inf"))), dim, k)), "first")
+    least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    rest = asked.where(F.col("turn") >= FIRST).join(least, "query_id", "left").withColumn(
+        "least", F.coalesce("least", F.lit(float("-inf"))))
+    near = first.drop("rank").unionByName(_in_cells(index, rest, dim, k))
+    return best(near).select("query_id", "rank", "vec_id", "score")
+
+
+def _in_cells(index: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame:
+    """Compare leaves with the queries that reached them, in cells of at most about BLOCK
+    rows and BLOCK queries."""
     grid = written(index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks")).join(
         asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks")), "leaf"), "grid")
 
@@ -196,12 +219,8 @@ def nearest(
     cell = ["leaf", "row_block", "query_block"]
     left = dealt(index, "vec_id", "row_block", "query_block").groupBy(*cell)
     right = dealt(asked, "query_id", "query_block", "row_block").groupBy(*cell)
-    near = left.cogroup(right).applyInPandas(
+    return left.cogroup(right).applyInPandas(
         lambda r, q: _compared(r, q, dim, k), "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
 
 
 def _lifted(v: np.ndarray, norm2: float) -> np.ndarray:
@@ -210,7 +229,7 @@ def _lifted(v: np.ndarray, norm2: float) -> np.ndarray:
 
 
 def default_budget(n: int, trees: int) -> int:
-    """All rows of each tree up to 2,000; beyond, 0.3 of them up to 100,000 rows, and
-    then in proportion to the square root."""
-    share = min(1.0, max(2000 / max(n, 1), 0.3 * min(1.0, (100_000 / max(n, 1)) ** 0.5)))
+    """2,000 rows of each tree or a tenth of all, whichever is more, up to 100,000 rows;
+    beyond, the tenth grows with the square root."""
+    share = min(1.0, max(2000 / max(n, 1), 0.1 * min(1.0, (100_000 / max(n, 1)) ** 0.5)))
     return ceil(trees * n * share)
