@@ -161,7 +161,8 @@ def trained(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     None if no row has both a language and a text with a byte."""
     labelled = labelled.where("lang is not null and text is not null and key is not null")
     many = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
-    rows = labelled.join(many, "lang").where(drawn("key", F.col("many"), sample)).select("lang", "text")
+    # a row per language, of which the model has a column each
+    rows = labelled.join(F.broadcast(many), "lang").where(drawn("key", F.col("many"), sample)).select("lang", "text")
     grams = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = grams.toPandas()  # the grams of a bounded sample
     if not len(found):
