@@ -156,8 +156,14 @@ def nearest(
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     budget = budget or default_budget(n, trees)
 
-    found = rows.where(drawn("vec_id", F.lit(n), SAMPLE)).orderBy("vec_id").toPandas()  # about SAMPLE rows, whatever the table's size
-    sample = _lifted(np.stack(found["v"].to_numpy()), norm2) if len(found) else np.zeros((0, dim + 1))
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = [np.array(x).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary())], names=["vec_id", "v"])
+
+    found = rows.where(drawn("vec_id", F.lit(n), SAMPLE)).mapInArrow(compact, "vec_id long, v binary")
+    found = found.orderBy("vec_id").toPandas()  # about SAMPLE rows, whatever the table's size
+    sample = _lifted(_matrix(found["v"], dim), norm2)
     depth = max(0, min(ceil(log2(max(1, n / leaf))), int(log2(max(1, len(sample) / LEAST)))))
     rng = np.random.default_rng(SEED)
     forest = spark.sparkContext.broadcast([Tree(sample, depth, rng) for _ in range(trees)])  # bounded by the sample
