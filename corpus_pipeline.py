@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind; n_chars is counted again."""
-    found = pii.personal_data(docs, carry=docs.columns)
+    found = pii.personal_data(docs, carry=docs.columns, keep=False)
     text = pii.redacted(F.coalesce("text", F.lit("")), F.col("pii_spans"))
     changed = F.size("pii_spans") > 0
     return found.withColumn("text", F.when(changed, text).otherwise(F.col("text"))).withColumn(

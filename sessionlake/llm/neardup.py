@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm.components import components
 from sessionlake.llm.shingles import blocks, mix, shingle_sets
-from sessionlake.workspace import written
+from sessionlake.workspace import scratch, written
 
 M = 128
 #: Registers in a band. A pair of similarity s is missed with (1 - s^4)^32: 5e-8 at 0.8.
@@ -190,8 +190,14 @@ def near_duplicates(
     words, has none and is linked with nothing. A row without an id is its own group:
     component_id is null and it is kept. Rows that share an id and a text share their
     result; rows that share an id but not the text are grouped each by its text. An
-    empty table gives an empty result. Other columns of docs are not looked at.
+    empty table gives an empty result. Other columns of docs are not looked at. The
+    result is a table of its own; everything it was worked out from is removed.
     """
+    with scratch(docs.sparkSession):
+        return written(_grouped(docs, width, percent, id_col, text_col), "groups", lasting=True)
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("text_hash"))
     sketch = written(rows.mapInArrow(

@@ -185,14 +185,16 @@ def classifier(patterns: DataFrame) -> DataFrame:
         F.col("odds") + F.log(F.col("yes_all") / F.col("no_all")) > 0).alias("accepted"))
 
 
-def personal_data(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, carry: list[str], text_col: str = "text", keep: bool = True) -> DataFrame:
     """Per row of docs: its columns named in `carry`, and pii_spans, an array of (start, kind,
     end, base) in order of start and kind; kind is an index of KINDS, code points count from
     0, end is exclusive.
 
     A null text counts as empty and has no spans. Each row is searched by itself, so repeats
     agree; what is learned comes from all rows. An empty table gives an empty result. Columns
-    outside `carry` and the text are dropped, so they cannot clash.
+    outside `carry` and the text are dropped, so they cannot clash. The candidates are kept
+    as a table; with keep=False they are searched a second time instead, which takes no
+    room where `carry` holds the texts.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
@@ -202,8 +204,8 @@ def personal_data(docs: DataFrame, carry: list[str], text_col: str = "text") ->
     def all_kinds(t: Column) -> Column:
         return F.concat(*[of_kind(t, k) for k in KINDS])
 
-    rows = written(docs.select(
-        *[F.col(f"`{c}`") for c in carry], F.sort_array(let(text, all_kinds)).alias("pii_spans")), "candidates")
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.sort_array(let(text, all_kinds)).alias("pii_spans"))
+    rows = written(rows, "candidates") if keep else rows
     patterns = rows.select(F.explode("pii_spans").alias("c")).groupBy("c.kind", "c.votes", "c.shape").agg(
         F.count(F.lit(1)).alias("n"))
     patterns = written(patterns, "votes")  # kinds * vote patterns * shapes rows at most
