@@ -5,34 +5,45 @@ position-wise embeddings are summed, squashed, and give first the class of the w
 the word in its class. A document's score is the sum of the words' conditional log
 probabilities.
 
-Words are the most frequent ones of the whole corpus and hashed groups of all others. The
-output starts from their frequencies. Each task trains the network on its own share of the
+The network's words are those that occur often in the whole corpus, and hashed groups of
+all others; the number of classes follows from theirs. Within its group a rare word is
+charged its own share, its count over the group's. Counts of the more frequent words are
+sent to every task; those of all others are joined. The output starts from the words'
+frequencies. Each task trains the network on its own share of the
 documents, and the tasks' networks are averaged, weighted by the words they learned from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, isqrt, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm.shingles import blocks, word_hashes
 from sessionlake.workspace import written
 
-CLASSES = 32
+#: Classes at least and at most; as many ids as their square.
+CLASSES, MOST_CLASSES = 32, 64
 VOCABULARY = CLASSES * CLASSES
+#: A word that occurs so often asks for an id of its own.
+OFTEN = 100
 #: Ids at the end that stand for all rarer words, by hash.
 RARE = 64
+#: Words at most whose counts are sent to every task.
+KNOWN = 1 << 20
 DIM = 16
 OFFSETS = (-2, -1, 1, 2)
-PAD = VOCABULARY
 #: One document in so many is learned from, by the hash of its words, in every task.
 TRAIN_ONE_IN = 4
 STEP, RATE = 1024, 0.1
 WINDOWS = 1 << 15
+#: Log counts are added in fractions of this.
+UNIT = 1 << 32
 
 
 def _docs(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -52,44 +63,77 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
+def _group(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) % np.uint64(RARE)).astype(np.int64)
+
+
 class Vocabulary:
-    """Ids of word hashes: frequent words in order of frequency, then the groups of rare ones."""
+    """Ids of word hashes: frequent words in order of frequency, then the groups of rare ones.
+
+    words, counts: all words that occur more than some number of times. groups: the count
+    of all words by their group, were they rare. rest: the counts (word, n) of other words.
+    """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, groups: np.ndarray, rest: DataFrame | None = None):
+        self.rest = rest
+        often = int((counts >= OFTEN).sum())
+        self.classes = min(MOST_CLASSES, max(CLASSES, DIM * ceil(sqrt(often + RARE) / DIM)))
+        self.size = self.classes ** 2
+        first = np.lexsort((words, -counts))
+        own = first[: self.size - RARE]
+        groups = groups - np.bincount(_group(words[own]), counts[own], RARE)
+        self.frequency = np.full(self.size, 0.5)
+        self.frequency[: len(own)] += counts[own]
+        self.frequency[self.size - RARE:] += groups
+        ids = self.size - RARE + _group(words)
+        ids[own] = np.arange(len(own))
+        # a word that is not counted is charged like one that occurs once
+        self.unseen = -np.log(groups + 1)
+        share = np.log(np.maximum(counts, 1)) + self.unseen[_group(words)]
+        share[own] = 0
         order = np.argsort(words)
-        self.words, self.ids = words[order], order.astype(np.int32)
-        rare = max(1, total - counts.sum()) / RARE
-        self.frequency = np.full(VOCABULARY, 0.5)
-        self.frequency[: len(counts)] += counts
-        self.frequency[VOCABULARY - RARE:] += rare
+        self.words, self.ids, self.share = words[order], ids[order].astype(np.int32), share[order].astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (VOCABULARY - RARE + (hashes >> np.uint64(40)) % np.uint64(RARE)).astype(np.int32)
-        if not len(self.words):
-            return rare
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.ids[at], rare)
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id and log share within the id of each word, and whether its count is known."""
+        distinct, back = np.unique(hashes, return_inverse=True)
+        group = _group(distinct)
+        ids, share = (self.size - RARE + group).astype(np.int32), self.unseen[group]
+        known = np.zeros(len(distinct), dtype=bool)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+            known = self.words[at] == distinct
+            ids, share = np.where(known, self.ids[at], ids), np.where(known, self.share[at], share)
+        return ids[back], share[back], known[back]
 
 
 class Network:
     """All weights in one array of rows of DIM values, so that networks can be averaged."""
 
-    #: Rows of each part: embeddings by offset, output rows of the classes and of the words, and their biases.
-    PARTS = (len(OFFSETS) * (VOCABULARY + 1), CLASSES, VOCABULARY, CLASSES // DIM, VOCABULARY // DIM)
+    @staticmethod
+    def parts(classes: int) -> tuple[int, ...]:
+        """Rows of each part: embeddings by offset, output rows of the classes and of the words, and their biases."""
+        size = classes * classes
+        return len(OFFSETS) * (size + 1), classes, size, classes // DIM, size // DIM
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
-        ends = np.cumsum((0, *self.PARTS))
+        self.classes = n = next(c for c in range(DIM, len(rows) + DIM, DIM) if sum(self.parts(c)) >= len(rows))
+        ends = np.cumsum((0, *self.parts(n)))
         e, c, w, bc, bw = (rows[a:b] for a, b in zip(ends[:-1], ends[1:]))
-        self.embed = e.reshape(len(OFFSETS), VOCABULARY + 1, DIM)
-        self.by_class, self.by_word = c, w.reshape(CLASSES, CLASSES, DIM)
-        self.class_bias, self.word_bias = bc.reshape(CLASSES), bw.reshape(CLASSES, CLASSES)
+        self.embed = e.reshape(len(OFFSETS), n * n + 1, DIM)
+        self.by_class, self.by_word = c, w.reshape(n, n, DIM)
+        self.class_bias, self.word_bias = bc.reshape(n), bw.reshape(n, n)
 
     @classmethod
     def first(cls, frequency: np.ndarray, seed: int = 1) -> Network:
-        rows = np.random.default_rng(seed).normal(0, 0.1, (sum(cls.PARTS), DIM)).astype(np.float32)
+        n = isqrt(len(frequency))
+        rows = np.random.default_rng(seed).normal(0, 0.1, (sum(cls.parts(n)), DIM)).astype(np.float32)
         new = cls(rows)
-        by_class = frequency.reshape(CLASSES, CLASSES)
+        by_class = frequency.reshape(n, n)
         new.class_bias[:] = np.log(by_class.sum(1) / frequency.sum())
         new.word_bias[:] = np.log(by_class / by_class.sum(1, keepdims=True))
         return new
@@ -108,19 +152,19 @@ class Network:
         return logits
 
     def _by_class(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        kind = ids // CLASSES
+        kind = ids // self.classes
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             if ends[c] < ends[c + 1]:
                 yield c, order[ends[c]: ends[c + 1]]
 
     def log_probability(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         h = self._hidden(context)
-        p = self._soft(h @ self.by_class.T + self.class_bias)[np.arange(len(ids)), ids // CLASSES].astype(np.float64)
+        p = self._soft(h @ self.by_class.T + self.class_bias)[np.arange(len(ids)), ids // self.classes].astype(np.float64)
         for c, at in self._by_class(ids):
             q = self._soft(h[at] @ self.by_word[c].T + self.word_bias[c])
-            p[at] *= q[np.arange(len(at)), ids[at] % CLASSES]
+            p[at] *= q[np.arange(len(at)), ids[at] % self.classes]
         return np.log(np.maximum(p, 1e-30))
 
     def learn(self, context: np.ndarray, ids: np.ndarray, squares: Network) -> None:
@@ -129,13 +173,13 @@ class Network:
         back = np.zeros_like(h)
         gradient = Network(np.zeros_like(self.rows))
         e = self._soft(h @ self.by_class.T + self.class_bias)
-        e[np.arange(len(ids)), ids // CLASSES] -= 1
+        e[np.arange(len(ids)), ids // self.classes] -= 1
         back += e @ self.by_class
         gradient.by_class[:] = e.T @ h
         gradient.class_bias[:] = e.sum(0)
         for c, at in self._by_class(ids):
             q = self._soft(h[at] @ self.by_word[c].T + self.word_bias[c])
-            q[np.arange(len(at)), ids[at] % CLASSES] -= 1
+            q[np.arange(len(at)), ids[at] % self.classes] -= 1
             back[at] += q @ self.by_word[c]
             gradient.by_word[c] = q.T @ h[at]
             gradient.word_bias[c] = q.sum(0)
@@ -147,12 +191,12 @@ class Network:
         self.rows -= RATE * g / np.sqrt(squares.rows + 1e-6)
 
 
-def _windows(ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(ids: np.ndarray, cut: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with two pads between documents, and where each word now stands."""
     reach = max(OFFSETS)
     doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
     at = np.arange(len(ids)) + reach * (doc + 1)
-    padded = np.full(len(ids) + reach * len(cut), PAD, dtype=np.int32)
+    padded = np.full(len(ids) + reach * len(cut), pad, dtype=np.int32)
     padded[at] = ids
     return padded, at
 
@@ -178,8 +222,8 @@ def _trained(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, one_in:
             own = np.add.reduceat(np.append(words, np.uint64(0)), cut[:-1]) if len(sizes) else np.zeros(0, np.uint64)
             take = (sizes > 0) & ((own >> np.uint64(20)) % np.uint64(one_in) == 0)
             words = words[np.repeat(take, sizes)]
-            ids = vocabulary.of(words)
-            padded, at = _windows(ids, np.append(0, np.cumsum(sizes[take])))
+            ids = vocabulary.of(words)[0]
+            padded, at = _windows(ids, np.append(0, np.cumsum(sizes[take])), vocabulary.size)
             for a in range(0, len(at), STEP):
                 part = at[a:a + STEP]
                 left[0].append(np.stack([padded[part + o] for o in OFFSETS]))
@@ -203,11 +247,21 @@ def trained(docs: DataFrame, text_col: str = "text", one_in: int = TRAIN_ONE_IN)
     texts = docs.select(F.col(f"`{text_col}`").alias("t"))
     counts = texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts, "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    observed = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).toPandas()
-    words, n = observed["word"].to_numpy(np.int64).view(np.uint64), observed["n"].to_numpy(np.float64)
-    vocabulary = Vocabulary(words, n, total)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # VOCABULARY words at most
+    # all words that occur so often that they are KNOWN at most
+    rarity = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toPandas()
+    fits = rarity["words"].cumsum().to_numpy() <= KNOWN
+    least = int(rarity["n"][fits].min()) if fits.any() else None if len(rarity) else 1
+    known = counts.where(F.col("n") >= least) if least else counts.limit(0)
+    known = known.toPandas()
+    words, n = known["word"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.float64)
+    group = F.pmod(F.shiftrightunsigned("word", 40), F.lit(RARE))
+    held = counts.groupBy(group.alias("group")).agg(F.sum("n").alias("n")).toPandas()
+    groups = np.zeros(RARE)
+    groups[held["group"].to_numpy(np.int64)] = held["n"]
+    # a word that occurs once is charged as one that does not
+    rest = counts.where((F.col("n") > 1) & (F.col("n") < least)) if least and least > 2 else None
+    vocabulary = Vocabulary(words, n, groups, rest if least else counts)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # KNOWN words at most
     rows = texts.mapInArrow(
         lambda b: _trained(b, shared.value, one_in), "row long, learned double, v array<double>")
     mean = [F.sum(F.col("v")[i] * F.col("learned")) / F.sum("learned") for i in range(DIM)]
@@ -225,23 +279,44 @@ def scored(docs: DataFrame, model: tuple[Vocabulary, Network], id_col: str = "do
     A null or wordless text has 0 words and log probability 0. Equal texts score equally; an
     empty table gives an empty result; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].rows))  # a fixed size
+    rest = model[0].rest
+    joins = rest is not None
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].rows))  # KNOWN words and a network
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, net = shared.value[0], Network(shared.value[1])
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             n, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            open_docs, open_words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for a, b, words, cut in _docs(batch.column(1).to_pylist()):
-                padded, at = _windows(vocabulary.of(words), cut)
+                ids, share, known = vocabulary.of(words)
+                padded, at = _windows(ids, cut, vocabulary.size)
                 doc = np.repeat(np.arange(a, b), np.diff(cut))
                 n[a:b] = np.diff(cut)
                 for i in range(0, len(at), WINDOWS):
                     part = at[i:i + WINDOWS]
                     p = net.log_probability(np.stack([padded[part + o] for o in OFFSETS]), padded[part])
-                    sums += np.bincount(doc[i:i + WINDOWS], p, len(sums))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(sums)], names=["doc_id", "n_words", "log_probability"])
+                    sums += np.bincount(doc[i:i + WINDOWS], p + share[i:i + WINDOWS], len(sums))
+                if joins:
+                    open_docs.append(doc[~known])
+                    open_words.append(words[~known])
+            held, found = np.concatenate(open_docs), np.concatenate(open_words)
+            places = np.append(0, np.cumsum(np.bincount(held, minlength=batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row + np.arange(batch.num_rows)), batch.column(0), pa.array(n), pa.array(sums),
+                pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(found.view(np.int64))),
+            ], names=["row", "doc_id", "n_words", "log_probability", "open"])
+            row += batch.num_rows
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
-    out = rows.mapInArrow(score, "doc_id long, n_words long, log_probability double")
-    return out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))
+    out = rows.mapInArrow(score, "row long, doc_id long, n_words long, log_probability double, open array<long>")
+    if joins:
+        out = written(out, "open")
+        # in whole numbers, so that the order of adding does not matter
+        more = F.sum(F.round(F.log("n") * UNIT).cast("long")) / UNIT
+        counted = out.select("row", F.explode("open").alias("word")).join(rest, "word").groupBy("row").agg(more.alias("more"))
+        out = out.join(counted, "row", "left").withColumn(
+            "log_probability", F.col("log_probability") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_words", "log_probability").withColumn(
+        "per_word", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))

@@ -139,3 +139,38 @@ def test_scores_of_an_empty_corpus(docs):
     model = masked_lm.trained(docs([(1, None)]))
     assert [tuple(r) for r in masked_lm.scored(docs([(1, None)]), model).collect()] == [(1, 0, 0.0, None)]
     assert masked_lm.scored(docs([]), masked_lm.trained(docs([]))).count() == 0
+
+
+def test_rare_words_are_charged_their_share(docs, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"f{rng.randrange(1000)}" if rng.random() < 0.5 else f"r{rng.randrange(20000)}"
+    table = [(i, " ".join(word() for _ in range(80))) for i in range(600)]
+    model = masked_lm.trained(docs(table[:500]), one_in=1)
+    clean = [(i, t) for i, t in table[500:]]
+    tests = clean + [(1000, " ".join(f"zq{i}" for i in range(80))), (1001, "r1 r2"), (None, "f1 r3"), (None, "f1 r3"), (1002, None)]
+    score = {r.doc_id: r.per_word for r in masked_lm.scored(docs(tests), model).collect()}
+    assert score[1000] < min(score[i] for i, _ in clean)
+    # the counts of all rare words come from the join when few are sent to the tasks
+    monkeypatch.setattr(masked_lm, "KNOWN", 2000)
+    some = masked_lm.trained(docs(table[:500]), one_in=1)
+    assert some[0].rest is not None and len(some[0].words) <= 2000 < len(model[0].words)
+    again = {r.doc_id: r.per_word for r in masked_lm.scored(docs(tests), (some[0], model[1])).collect()}
+    assert again.pop(1002) is score.pop(1002) is None
+    assert again == pytest.approx(score, abs=1e-5)
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    words = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64))
+    counts = np.maximum(1, 30000 // (np.arange(len(words)) + 1)).astype(float)
+    v = masked_lm.Vocabulary(words, counts, np.bincount(masked_lm._group(words), counts, masked_lm.RARE))
+    ids, share, known = v.of(words)
+    rare = ids >= v.size - masked_lm.RARE
+    mass = np.bincount(ids[rare] - v.size + masked_lm.RARE, np.exp(share[rare]), masked_lm.RARE)
+    assert known.all() and (share[~rare] == 0).all() and mass + np.exp(v.unseen) == pytest.approx(np.ones(masked_lm.RARE))
+
+
+def test_the_vocabulary_follows_the_counts():
+    words, groups = np.arange(3000, dtype=np.uint64), np.zeros(masked_lm.RARE)
+    groups[0] = 3000 * masked_lm.OFTEN
+    v = masked_lm.Vocabulary(words, np.full(3000, float(masked_lm.OFTEN)), groups)
+    assert len(set(v.of(words)[0])) == 3000 and masked_lm.Network.first(v.frequency).classes == v.classes > masked_lm.CLASSES
