@@ -35,12 +35,11 @@ OFTEN = 100
 #: Ids at the end that stand for all rarer words, by hash.
 RARE = 64
 #: Words at most whose counts are sent to every task.
-KNOWN = 1 << 20
+KNOWN = 1 << 19
 DIM = 16
 OFFSETS = (-2, -1, 1, 2)
-#: One document in so many is learned from, by the hash of its words, in every task.
-TRAIN_ONE_IN = 4
-STEP, RATE = 1024, 0.1
+#: Words of a step at first and at most; a sixteenth of what was learned from between these.
+STEP, LARGEST_STEP, RATE = 1024, 8192, 0.1
 WINDOWS = 1 << 15
 #: Log counts are added in fractions of this.
 UNIT = 1 << 32
@@ -145,50 +144,63 @@ class Network:
         return np.tanh(total, out=total)
 
     @staticmethod
-    def _soft(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(1, keepdims=True)
+    def _powers(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp(logits) in their place, and its sum by row."""
+        np.clip(logits, -80, 80, out=logits)
         np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits
+        return logits, logits @ np.ones(logits.shape[1], np.float32)
 
-    def _by_class(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        kind = ids // self.classes
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of the ids in which each class is a slice."""
+        kind = (ids // self.classes).astype(np.int16)
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            if ends[c] < ends[c + 1]:
-                yield c, order[ends[c]: ends[c + 1]]
+        ends = np.searchsorted(kind[order], np.arange(self.classes + 1)).tolist()
+        return order, [(c, slice(ends[c], ends[c + 1])) for c in range(self.classes) if ends[c] < ends[c + 1]]
 
     def log_probability(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        h = self._hidden(context)
-        p = self._soft(h @ self.by_class.T + self.class_bias)[np.arange(len(ids)), ids // self.classes].astype(np.float64)
-        for c, at in self._by_class(ids):
-            q = self._soft(h[at] @ self.by_word[c].T + self.word_bias[c])
-            p[at] *= q[np.arange(len(at)), ids[at] % self.classes]
-        return np.log(np.maximum(p, 1e-30))
+        order, classes = self._by_class(ids)
+        h, own, every = self._hidden(context[:, order]), ids[order] % self.classes, np.arange(len(ids))
+        e, total = self._powers(h @ self.by_class.T + self.class_bias)
+        p = np.empty(len(ids), np.float32)
+        for c, at in classes:
+            q, within = self._powers(h[at] @ self.by_word[c].T + self.word_bias[c])
+            p[at] = np.log(e[at, c] / total[at]) + np.log(q[every[:len(q)], own[at]] / within)
+        out = np.empty(len(ids))
+        out[order] = p
+        return out
 
     def learn(self, context: np.ndarray, ids: np.ndarray, squares: Network) -> None:
         """One step of Adagrad on a batch; `squares` holds the summed squared gradients."""
+        order, classes = self._by_class(ids)
+        context, own, every = context[:, order], ids[order] % self.classes, np.arange(len(ids))
+        rate, ones = np.float32(1 / len(ids)), np.ones(len(ids), np.float32)
         h = self._hidden(context)
-        back = np.zeros_like(h)
-        gradient = Network(np.zeros_like(self.rows))
-        e = self._soft(h @ self.by_class.T + self.class_bias)
-        e[np.arange(len(ids)), ids // self.classes] -= 1
-        back += e @ self.by_class
-        gradient.by_class[:] = e.T @ h
-        gradient.class_bias[:] = e.sum(0)
-        for c, at in self._by_class(ids):
-            q = self._soft(h[at] @ self.by_word[c].T + self.word_bias[c])
-            q[np.arange(len(at)), ids[at] % self.classes] -= 1
+        e, total = self._powers(h @ self.by_class.T + self.class_bias)
+        e *= (1 / total)[:, None]
+        for c, at in classes:
+            e[at, c] -= 1
+        back = e @ self.by_class
+        self._descend(squares, "by_class", slice(None), (e.T @ h) * rate)
+        self._descend(squares, "class_bias", slice(None), (ones @ e) * rate)
+        for c, at in classes:
+            q, within = self._powers(h[at] @ self.by_word[c].T + self.word_bias[c])
+            q *= (1 / within)[:, None]
+            q[every[:len(q)], own[at]] -= 1
             back[at] += q @ self.by_word[c]
-            gradient.by_word[c] = q.T @ h[at]
-            gradient.word_bias[c] = q.sum(0)
-        back *= 1 - h * h
+            self._descend(squares, "by_word", c, (q.T @ h[at]) * rate)
+            self._descend(squares, "word_bias", c, (ones[:len(q)] @ q) * rate)
+        back *= (1 - h * h) * rate
         for k in range(len(OFFSETS)):
-            np.add.at(gradient.embed[k], context[k], back)
-        g = gradient.rows / len(ids)
-        squares.rows += g * g
-        self.rows -= RATE * g / np.sqrt(squares.rows + 1e-6)
+            # only rows that stand in the context have a gradient: their positions side by side, summed by word
+            order = np.argsort(context[k].astype(np.int16), kind="stable")
+            words = context[k][order]
+            first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            self._descend(squares, "embed", (k, words[first]), np.add.reduceat(back[order], first, axis=0))
+
+    def _descend(self, squares: Network, part: str, at: object, gradient: np.ndarray) -> None:
+        sums = getattr(squares, part)
+        sums[at] += gradient * gradient
+        getattr(self, part)[at] -= RATE * gradient / np.sqrt(sums[at] + np.float32(1e-6))
 
 
 def _windows(ids: np.ndarray, cut: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +236,16 @@ def _trained(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, one_in:
             words = words[np.repeat(take, sizes)]
             ids = vocabulary.of(words)[0]
             padded, at = _windows(ids, np.append(0, np.cumsum(sizes[take])), vocabulary.size)
-            for a in range(0, len(at), STEP):
-                part = at[a:a + STEP]
+            a = 0
+            while a < len(at):
+                step = min(LARGEST_STEP, max(STEP, learned // 16))
+                part = at[a:a + max(1, step - held)]
+                a += len(part)
                 left[0].append(np.stack([padded[part + o] for o in OFFSETS]))
                 left[1].append(padded[part])
                 held += len(part)
                 learned += len(part)
-                if held >= STEP:
+                if held >= step:
                     flush()
     flush()
     if learned:
@@ -241,21 +256,21 @@ def _trained(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, one_in:
         ], names=["row", "learned", "v"])
 
 
-def trained(docs: DataFrame, text_col: str = "text", one_in: int = TRAIN_ONE_IN) -> tuple[Vocabulary, Network]:
-    """Count the words of all documents, and train a network on one document in `one_in`
-    of every task. Without words the network only knows that all words are rare."""
+def trained(docs: DataFrame, text_col: str = "text", one_in: int = 1) -> tuple[Vocabulary, Network]:
+    """Count the words of all documents, and train a network on all of them. one_in: learn
+    from one document in so many only, by the hash of its words. Without words the network only knows that all words are rare."""
     texts = docs.select(F.col(f"`{text_col}`").alias("t"))
     counts = texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts, "words")
     # all words that occur so often that they are KNOWN at most
-    rarity = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toPandas()
+    rarity = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toArrow().to_pandas()
     fits = rarity["words"].cumsum().to_numpy() <= KNOWN
     least = int(rarity["n"][fits].min()) if fits.any() else None if len(rarity) else 1
     known = counts.where(F.col("n") >= least) if least else counts.limit(0)
-    known = known.toPandas()
-    words, n = known["word"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.float64)
+    known = known.toArrow()  # as bytes: KNOWN rows would fill the driver
+    words, n = known["word"].to_numpy().view(np.uint64), known["n"].to_numpy().astype(np.float64)
     group = F.pmod(F.shiftrightunsigned("word", 40), F.lit(RARE))
-    held = counts.groupBy(group.alias("group")).agg(F.sum("n").alias("n")).toPandas()
+    held = counts.groupBy(group.alias("group")).agg(F.sum("n").alias("n")).toArrow().to_pandas()
     groups = np.zeros(RARE)
     groups[held["group"].to_numpy(np.int64)] = held["n"]
     # a word that occurs once is charged as one that does not
@@ -265,7 +280,7 @@ def trained(docs: DataFrame, text_col: str = "text", one_in: int = TRAIN_ONE_IN)
     rows = texts.mapInArrow(
         lambda b: _trained(b, shared.value, one_in), "row long, learned double, v array<double>")
     mean = [F.sum(F.col("v")[i] * F.col("learned")) / F.sum("learned") for i in range(DIM)]
-    averaged = rows.groupBy("row").agg(*[m.alias(f"v{i}") for i, m in enumerate(mean)]).toPandas()
+    averaged = rows.groupBy("row").agg(*[m.alias(f"v{i}") for i, m in enumerate(mean)]).toArrow().to_pandas()
     net = Network.first(vocabulary.frequency)
     if len(averaged):
         net.rows[averaged["row"]] = averaged[[f"v{i}" for i in range(DIM)]].to_numpy(np.float32)

@@ -174,3 +174,13 @@ def test_the_vocabulary_follows_the_counts():
     groups[0] = 3000 * masked_lm.OFTEN
     v = masked_lm.Vocabulary(words, np.full(3000, float(masked_lm.OFTEN)), groups)
     assert len(set(v.of(words)[0])) == 3000 and masked_lm.Network.first(v.frequency).classes == v.classes > masked_lm.CLASSES
+
+
+def test_every_document_is_learned_from(docs):
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{k}" for _ in range(60)) for k in range(8)]
+    model = masked_lm.trained(docs([(i, texts[i % 8]) for i in range(1600)]))
+    untrained = (model[0], masked_lm.Network.first(model[0].frequency))
+    tests = docs(list(enumerate(texts)))
+    score, base = ({r.doc_id: r.per_word for r in masked_lm.scored(tests, m).collect()} for m in (model, untrained))
+    assert all(score[k] > base[k] + 0.3 for k in range(8)), [score[k] - base[k] for k in range(8)]
