@@ -6,6 +6,8 @@ query walks all trees through one priority queue, nearest hyperplanes first, unt
 leaves it has reached hold `budget` rows. Leaves are compared with the queries that
 reached them, exactly and in double precision, in tasks of bounded size: a large leaf is
 cut into blocks of rows, and the queries of a much reached one into blocks of queries.
+A few queries are first answered from all rows: the budget is raised until it reaches
+their nearest.
 
 Largest inner products are nearest neighbours once every row gets one more component,
 sqrt(greatest norm^2 - own norm^2), and every query a zero.
@@ -37,6 +39,8 @@ BLOCK = 1024
 #: Leaves of a query that are compared first.
 FIRST = 24
 SEED = 7
+#: Queries answered exactly, and the share of their neighbours that the default budget must reach.
+PILOT, RECALL = 32, 0.95
 
 
 class Tree:
@@ -134,7 +138,7 @@ def nearest(
     vectors and queries have an id (long) and an array of numbers. Returns query_id, rank
     (int, from 1), vec_id, score (double), nearest first, ties to the smaller id. budget:
     rows that a query is compared with, counted once per tree; by default a share of all
-    rows that falls as they grow. Arrays that are null, zero, hold null or non-finite
+    rows that falls as they grow, or as many more as a few exactly answered queries need. Arrays that are null, zero, hold null or non-finite
     components, or have another length than most rows (the shorter of tied lengths) take no
     part, nor do null ids. Rows that repeat an id count once, with their best score. Without
     usable rows or queries the result is empty. Other columns are not looked at.
@@ -154,7 +158,6 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, norm2 = shape["dim"], shape["n"], shape["norm2"]
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    budget = budget or default_budget(n, trees)
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,6 +186,11 @@ def nearest(
     sizes = np.zeros(trees * per_tree, dtype=np.int64)
     sizes[held["leaf"]] = held["count"]
     shared = spark.sparkContext.broadcast(sizes)
+    if not budget:
+        budget = default_budget(n, trees)
+        if budget < trees * n:
+            needed = _needed(rows, asked, forest.value, sizes, k, norm2)
+            budget = max(budget, ceil(np.quantile(needed, RECALL)) if len(needed) else 0)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,6 +237,40 @@ def _in_cells(index: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame
         lambda r, q: _compared(r, q, dim, k), "query_id long, vec_id long, score double")
 
 
+def _needed(rows: DataFrame, asked: DataFrame, forest: list[Tree], sizes: np.ndarray, k: int, norm2: float) -> np.ndarray:
+    """For each of the true k nearest of PILOT queries, the budget that reaches it."""
+    pilot = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT).collect()
+    ids, q = np.array([x["vec_id"] for x in pilot]), np.array([x["v"] for x in pilot])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8 * BLOCK):
+                part = batch.slice(at, 8 * BLOCK)
+                own, v = part.column(0).to_numpy(), np.stack(part.column(1).to_pylist())
+                score = np.where(ids[:, None] == own[None], -np.inf, q @ v.T)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                asker, found = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(asker), pa.array(own[found]), pa.array(score[asker, found]),
+                    pa.array([v[i].tobytes() for i in found], pa.binary())], names=["asker", "vec_id", "score", "v"])
+
+    near = rows.mapInArrow(exact, "asker long, vec_id long, score double, v binary").where(F.col("score") > float("-inf"))
+    near = near.groupBy("asker", "vec_id").agg(F.max_by("v", "score").alias("v"), F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
+    near = near.withColumn("rank", place).where(F.col("rank") <= k).select("asker", "v").collect()  # PILOT * k rows
+    needed = []
+    for i in range(len(pilot)):
+        true = [x["v"] for x in near if x["asker"] == i]
+        if true:
+            lifted = _lifted(_matrix(true, q.shape[1]), norm2)
+            leaves = np.stack([t * len(sizes) // len(forest) + tree.leaves(lifted) for t, tree in enumerate(forest)])
+            order = np.array(reached(forest, sizes, np.append(q[i], 0.0).astype(np.float32), int(sizes.sum())))
+            rows_to = np.full(len(sizes), sizes.sum())
+            rows_to[order] = np.cumsum(sizes[order])
+            needed.append(rows_to[leaves].min(0))
+    return np.concatenate(needed) if needed else np.zeros(0)
+
+
 def _lifted(v: np.ndarray, norm2: float) -> np.ndarray:
     rest = np.sqrt(np.maximum(norm2 - np.einsum("ij,ij->i", v, v), 0))
     return np.concatenate([v, rest[:, None]], 1).astype(np.float32)

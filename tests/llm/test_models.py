@@ -184,3 +184,12 @@ def test_every_document_is_learned_from(docs):
     tests = docs(list(enumerate(texts)))
     score, base = ({r.doc_id: r.per_word for r in masked_lm.scored(tests, m).collect()} for m in (model, untrained))
     assert all(score[k] > base[k] + 0.3 for k in range(8)), [score[k] - base[k] for k in range(8)]
+
+
+def test_the_budget_follows_the_measured_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "default_budget", lambda n, trees: 600)
+    v = dict(enumerate(np.random.default_rng(8).normal(size=(3000, 24))))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    want = brute(v, [i for i in v if i % 20 == 0], 20)
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20, leaf=64).collect()}
+    assert len(got & {(q, i) for q, w in want.items() for i, _ in w}) >= 0.9 * 20 * len(want)
