@@ -74,13 +74,15 @@ def after_key(key: Column, row_id: Column, value: Column, last_id: Column, direc
     return (key < value) | (value.isNotNull() & key.isNull()) | (same & (row_id < last_id))
 
 
-def first_of_each(df: DataFrame, group: str, order: list, n: int | None) -> DataFrame:
+def first_of_each(df: DataFrame, group: str, order: list[str], n: int | None) -> DataFrame:
     """Each group's first n rows, all with n None: `pos`, and `has_more` on every
-    row of a group that goes on. Each task keeps n + 1 before the shuffle."""
+    row of a group that goes on. Each task keeps n + 1 before the shuffle; whole
+    groups are numbered through ranges of their order, never in one task."""
+    if n is None:
+        whole = numbered(df, [group], order)
+        return whole.withColumns({"pos": F.col("pos").cast("int"), "has_more": F.lit(False)})
     place = Window.partitionBy(group).orderBy(*order)
     placed = df.withColumn("pos", F.row_number().over(place))
-    if n is None:
-        return placed.withColumn("has_more", F.lit(False))
     some = placed.where(F.col("pos") <= n + 1)
     return some.withColumn("has_more", F.max("pos").over(Window.partitionBy(group)) > n).where(F.col("pos") <= n)
 

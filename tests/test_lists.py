@@ -343,3 +343,19 @@ def test_export_of_a_report(spark, listed, tmp_path):
     export.write_json_lines(rows, str(tmp_path / "out"))
     back = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(back) == 5 and all("price_total" in b and "system_source" in b for b in back)
+
+
+def test_a_whole_session_is_numbered_through_ranges(spark, monkeypatch):
+    monkeypatch.setattr("sessionlake.operators.ordered.ranges_for", lambda rows: 4)
+    rows = [dict(id=f"e{i:04d}", session_id="s", seq=i) for i in range(400)] + [dict(id="x", session_id="t", seq=5)]
+    at = spark.createDataFrame([("s", 9), ("t", 0)], "session_id string, since_seq long")
+    tailed = ev.tail(table(spark, "session_events", rows), at, None, include_payload=False)
+    found = tailed.where("session_id = 's'").orderBy("pos").collect()
+    assert [(r["pos"], r["seq"]) for r in found] == [(i, i + 9) for i in range(1, 391)]
+    assert not any(r["has_more"] for r in found) and dict(tailed.dtypes)["pos"] == "int"
+    replayed = replay.debug_replay(table(spark, "ai_debug_events", [dict(id=r["id"], session_id="s") for r in rows[:400]]), None)
+    found = replayed.orderBy("pos").collect()
+    assert [r["id"] for r in found] == [f"e{i:04d}" for i in range(400)]
+    for df in (tailed, replayed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "_range" in plan and "row_number" not in plan
