@@ -1,4 +1,9 @@
-"""Quality rules: a table of thresholds compiled into one projection of Spark columns."""
+"""Quality rules: a table of thresholds compiled into one projection of Spark columns.
+
+The rules are for prose in English, German, French and Spanish: the stop-word rule compares
+words as they are written with lists of these four languages, and rejects texts in other
+languages and texts in capitals. Leave it out of `rules` for tables that hold such texts.
+"""
 
 from __future__ import annotations
 
