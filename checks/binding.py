@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.operators.ordered import running
 from sessionlake.session import configure
+from sessionlake.workspace import written
 
 DAY = 86400
 SESSIONS_FROM = 1701388800  # 2023-12-01T00:00:00Z
@@ -125,7 +126,8 @@ class Bound:
             self.table("events"), ["user_id"], ["event_id"],
             sums={"r": (F.col("event_type") == "purchase").cast("bigint")}, previous={"before_id": "event_id"},
         )
-        return self.bind_events(ranked, calls=True)
+        # a log is stored, not worked out on each reading
+        return written(self.bind_events(ranked, calls=True), "events")
 
     @property
     def messages(self) -> DataFrame:

@@ -246,7 +246,7 @@ def main_loop_responses(b):
 
 @query
 def tool_call_rows(b):
-    return toolcalls.attribute_tool_calls(b.messages, b.events_with_calls).select(
+    return toolcalls.tool_call_sources(b.messages, b.events_with_calls).select(
         "session_id", "seq", "n_ids", "is_whole", F.col("response_ids")[0].alias("response_id"))
 
 

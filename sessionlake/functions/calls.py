@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from sessionlake import vocabulary as V
 from sessionlake.functions.text import trimmed, whole_json
 
+# JSON as the provider's reader takes it, of any length and depth
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+               "maxNestingDepth": "100000", "maxNumLen": "1000000000", "maxStringLen": "2147483647"}
+
 
 def made_up(call_id: Column) -> Column:
     """Whether the agent made the id up; such an id names no provider entry."""
@@ -108,6 +112,30 @@ def _splitter() -> tuple[Callable, Callable]:
     return split, reader
 
 
+def plain_call_ids(payload: Column) -> Column:
+    """The ids of a response's call array, NULL for an entry without a text id, by Spark's
+    own JSON parser. NULL also where that cannot hold the array: see `provider_call_ids`."""
+    field = V.NATIVE_TOOL_CALLS
+
+    def calls_of(response: Column) -> Column:
+        return F.try_variant_get(response[field], "$", "array<variant>")
+
+    def own_id(entry: Column) -> Column:
+        is_text = F.schema_of_variant(F.try_variant_get(entry, "$.id", "variant")) == "STRING"
+        return F.when(is_text, F.try_variant_get(entry, "$.id", "string"))
+
+    response = whole_json(
+        payload, f"struct<`{field}`: variant>", lambda own: F.concat(F.lit(f'{{"{field}":["'), own, F.lit('"]}')),
+        lambda v: F.try_variant_get(v[field], "$[0]", "string"), STRICT_JSON)
+    ids = F.transform(calls_of(response), own_id)
+    return F.transform(F.array(ids), lambda found: F.when(F.size(found) > 0, found))[0]
+
+
+def unread_call_ids(payload: Column) -> Column:
+    """The same ids through `provider_calls`, for the responses `plain_call_ids` did not read."""
+    return F.transform(provider_calls(payload)["entries"], lambda e: e["call_id"])
+
+
 def provider_calls(payload: Column) -> Column:
     """The provider's call array of a response payload as it is stored.
 

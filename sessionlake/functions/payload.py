@@ -49,7 +49,9 @@ def is_llm(event_type: Column) -> Column:
 
 def with_payload(events: DataFrame) -> DataFrame:
     """Add the typed fields. Other event types are not parsed; their counters
-    and costs are 0, their price and currency NULL."""
+    and costs are 0, their price and currency NULL. A digest has them already."""
+    if set(_FIELDS) <= set(events.columns):
+        return events
     llm = is_llm(F.col("event_type"))
     # parse only where needed, and only once for all the fields
     parsed = events.withColumn("_p", F.when(llm, json_fields(F.col("payload"), *_FIELDS)))

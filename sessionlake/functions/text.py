@@ -50,7 +50,10 @@ def error_text(payload: Column) -> Column:
     return F.when(short, F.concat(F.lit(V.ERROR_PREFIX), excerpt)).otherwise(V.ERROR_FALLBACK)
 
 
-def whole_json(text: Column, kind: str, mark: Callable[[Column], Column], read: Callable[[Column], Column]) -> Column:
+def whole_json(
+    text: Column, kind: str, mark: Callable[[Column], Column], read: Callable[[Column], Column],
+    options: dict[str, str] | None = None,
+) -> Column:
     """text as JSON of a type, NULL unless the whole text is one value.
 
     Spark takes a value and leaves what follows it. Here the text stands alone in
@@ -59,7 +62,7 @@ def whole_json(text: Column, kind: str, mark: Callable[[Column], Column], read:
     mark(hash) is JSON of the type, read(value) gets the hash back.
     """
     own = F.xxhash64(text).cast("string")
-    pair = F.from_json(F.concat(F.lit("[["), text, F.lit("],["), mark(own), F.lit("]]")), f"array<array<{kind}>>")
+    pair = F.from_json(F.concat(F.lit("[["), text, F.lit("],["), mark(own), F.lit("]]")), f"array<array<{kind}>>", options)
 
     def one(x: Column) -> Column:
         value, end = F.get(x, F.lit(0)), F.get(F.get(x, F.lit(1)), F.lit(0))

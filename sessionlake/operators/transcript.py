@@ -15,15 +15,20 @@ COLUMNS = ("session_id", "pos", "seq", "role", "content", "tool_calls", "tool_ca
            "metadata", "visibility", "created_at")
 
 
+#: What a digest has of an error.
+SAID, EXCERPT = "error_text", "error_excerpt"
+
+
 def error_rows(events: DataFrame) -> DataFrame:
     """A message row per failed call, with seq 0, and the whole excerpt of the
     response, of which the content holds a short one only. A call whose time
     cannot be parsed has no place and is left out."""
     failed = events.where((F.col("event_type") == V.LLM_ERROR) & F.col("ts").isNotNull())
+    known = SAID in events.columns
     return failed.select(
         "session_id", F.col("seq").alias("event_seq"), F.lit(0).cast("bigint").alias("seq"),
-        F.lit("error").alias("role"), error_text(F.col("payload")).alias("content"),
-        F.col("ts").alias("created_at"), error_excerpt(F.col("payload")).alias("excerpt"),
+        F.lit("error").alias("role"), (F.col(SAID) if known else error_text(F.col("payload"))).alias("content"),
+        F.col("ts").alias("created_at"), (F.col(EXCERPT) if known else error_excerpt(F.col("payload"))).alias("excerpt"),
     )
 
 
@@ -48,19 +53,21 @@ def positions(messages: DataFrame, events: DataFrame, ranges: int | None = None)
 
 def transcript(
     messages: DataFrame, events: DataFrame, include_hidden: bool = False,
-    with_tool_calls: bool = True, ranges: int | None = None,
+    with_tool_calls: bool = True, ranges: int | None = None, digest: DataFrame | None = None,
 ) -> DataFrame:
-    """All transcripts, one row per message or error, ordered by pos."""
+    """All transcripts, one row per message or error, ordered by pos. With a digest of the events,
+    payloads are read for the text of calls only."""
     shown = visible(messages, include_hidden)
-    place = positions(shown, events, ranges)
+    narrow = events if digest is None else digest
+    place = positions(shown, narrow, ranges)
     rows = shown.withColumn("metadata", metadata_or_null(F.col("metadata"))).drop("tool_calls")
     if with_tool_calls:
-        calls = attribute_tool_calls(messages, events, include_hidden).select("session_id", "seq", "tool_calls")
+        calls = attribute_tool_calls(messages, events, include_hidden, digest).select("session_id", "seq", "tool_calls")
         rows = rows.join(calls, ["session_id", "seq"], "left")
     else:
         rows = rows.withColumn("tool_calls", F.lit(None).cast("string"))
     of_messages = place.where(F.col("is_error") == 0).select("session_id", F.col("own_seq").alias("seq"), "pos")
     of_errors = place.where(F.col("is_error") == 1).select("session_id", F.col("own_seq").alias("event_seq"), "pos")
     told = rows.join(of_messages, ["session_id", "seq"])
-    failed = error_rows(events).join(of_errors, ["session_id", "event_seq"]).drop("event_seq")
+    failed = error_rows(narrow).join(of_errors, ["session_id", "event_seq"]).drop("event_seq")
     return told.unionByName(failed, allowMissingColumns=True).select(*COLUMNS)

@@ -15,6 +15,7 @@ from sessionlake.operators.breakdown import by_event_type, sample_sessions, with
 from sessionlake.operators.budget import budget_balance
 from sessionlake.operators.buckets import bucket_report, by_bucket, filled
 from sessionlake.operators.currency import activity_by_currency, currency_map, or_empty, with_costs
+from sessionlake.operators.digest import digested
 from sessionlake.operators.events import event_rows, newest_events, session_rows
 from sessionlake.operators.paging import after, page_rows
 from sessionlake.operators.scope import ALL, Scope, of_sessions, sessions_in
@@ -95,16 +96,22 @@ class SessionDetail:
 
 def session_detail(
     sessions: DataFrame, messages: DataFrame, events: DataFrame, include_hidden: bool = False,
-    scope: Scope = ALL,
+    scope: Scope = ALL, keep: bool = True,
 ) -> SessionDetail:
     """Every session of a scope in full. Its statistics cover all its events;
-    of `scope` only the session filters apply."""
+    of `scope` only the session filters apply.
+
+    Statistics, errors and attribution come from one digest of the events, written to the
+    shared folder, so payloads are read once for it and once for the text of calls;
+    without `keep` each part reads them for itself.
+    """
     chosen = sessions_in(sessions, scope)
     if scope.filters_sessions:
         messages, events = of_sessions(messages, chosen), of_sessions(events, chosen)
+    digest = digested(events) if keep else None
     row = session_rows(chosen, metadata_map(F.col("metadata")).alias("metadata"))
-    stats = published(_with_stats(row, activity_by_currency(events), ALL))
-    return SessionDetail(stats, transcript(messages, events, include_hidden), event_rows(events))
+    stats = published(_with_stats(row, activity_by_currency(digest if keep else events), ALL))
+    return SessionDetail(stats, transcript(messages, events, include_hidden, digest=digest), event_rows(events))
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sessionlake.operators import toolcalls
 from sessionlake.functions import calls, payload, text, times, tokens
 
 
@@ -140,6 +141,29 @@ def test_provider_calls_that_are_none(spark):
     assert apply(spark, calls.provider_calls, docs) == [None] * len(docs)
 
 
+def test_call_ids_are_those_of_the_calls(spark):
+    """Spark's parser and the cut agree wherever the former reads a response; where it reads none,
+    the events get the ids from the cut."""
+    key = "native_tool_calls_raw"
+    arrays = [
+        '[{"id":"x"},{"id":5},{"k":1},{"id":""}]', '[{"id":"x"},"s",null,[{"id":"y"}]]', '[{"id":"x","id":"y"}]', "[]", '"no"',
+        '[{"id":"x","n":NaN}]', '[{"id":"x","a":{"b":1,"b":2}}]', '[{"id":"x","n":1e999}]', '{"id":"x"}', '[{"id":"x"},]', "null",
+        '[{"id":"é\\u00e9\\n"}]', '[{"ID":"x"}]', '[{"id":"x","t":' + "[" * 600 + "]" * 600 + "}]",
+    ]
+    docs = [f'{{"a":1,"{key}":{a}}}' for a in arrays] + [
+        f'{{"{key}":[{{"id":"x"}}],"{key}":[]}}', f'{{"{key}":[],"{key}":[{{"id":"z"}}]}}', f'{{"{key}":[{{"id":"x"}}]}} junk',
+        f' {{"{key}" : [ {{"id":"x"}} ] }} \n', f"{{'{key}':[{{'id':'x'}}]}}", f'{{"a":01,"{key}":[{{"id":"x"}}]}}',
+        f'[{{"{key}":[{{"id":"x"}}]}}]', f'{{"{key}":[{{"id":"x"}}],"u":Infinity}}', f'{{"q":{{"b":1,"b":2}},"{key}":[{{"id":"x"}}]}}',
+        f'{{"{key}":[{{"id":"x"}}],"\\u006eative_tool_calls_raw":[{{"id":"w"}}]}}', f'{{"{key}":[{{"id":"x"}}]}},{{}}', "", None]
+    whole = [None if c is None else [e["call_id"] for e in c["entries"]] for c in apply(spark, calls.provider_calls, docs)]
+    plain = apply(spark, calls.plain_call_ids, docs)
+    assert sum(p is not None for p in plain) >= 8 and [p for p in plain if p is not None] == [
+        w for p, w in zip(plain, whole) if p is not None]
+    log = spark.createDataFrame([(i, "llm_response", d) for i, d in enumerate(docs)], "i int, event_type string, payload string")
+    got = {r.i: r.call_ids for r in toolcalls.with_call_ids(log).collect()}
+    assert got == dict(enumerate(whole))
+
+
 SPACE = st.sampled_from(["", " ", "\n\t", "  "])
 LEAF = st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=6)
 VALUE = st.recursive(LEAF, lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text(max_size=4), v, max_size=3), max_leaves=8)

@@ -7,6 +7,7 @@ import pytest
 
 from sessionlake.functions.times import instant
 from sessionlake.operators import toolcalls, transcript
+from sessionlake.operators.digest import digested
 from sessionlake.plans import reports
 from tests.tables import by, events, messages, sessions
 
@@ -235,3 +236,48 @@ def test_the_detail_report(spark):
         (1, "user", None), (2, "assistant", "[" + entry("k") + "]"), (3, "error", None)]
     assert detail.lines().count() == 2 + 3 + 2
     assert instant("2025-01-01T00:00:02Z").year == 2025
+
+
+def stored_log(spark, tmp_path):
+    """A log in files: one reused id, one served response in three."""
+    e = events(spark, *[
+        dict(id=f"r{i}", session_id=f"s{i % 7}", seq=i, event_type="llm_response" if i % 5 else "llm_error",
+             ts=f"2025-01-01T00:{i % 60:02d}:00Z",
+             payload=calling(entry(f"k{i}" if i % 3 else "again"), entry(f"l{i}"))[:-1] + ',"tokens_in":3,"cost_input":0.5}'
+             if i % 5 else failed(f"e{i}")) for i in range(1, 90)])
+    m = messages(spark, *[
+        dict(session_id=f"s{i % 7}", seq=i, role="assistant", created_at=f"2025-01-01T00:{i % 60:02d}:00Z",
+             tool_calls=stored(f"l{i}", f"k{i}") if i % 2 else stored(f"k{i}")) for i in range(1, 90)])
+    for name, df in (("e", e), ("m", m)):
+        df.write.parquet(str(tmp_path / name))
+    return spark.read.parquet(str(tmp_path / "m")), spark.read.parquet(str(tmp_path / "e"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_only_text_that_serves_a_message_is_cut(spark, tmp_path):
+    m, e = stored_log(spark, tmp_path)
+    sources = plan(toolcalls.tool_call_sources(m, e))
+    assert "SortAggregate" not in sources and sources.count("payload:string") == 1  # the ids
+    lines = plan(toolcalls.attribute_tool_calls(m, e)).splitlines()
+    cut = next(i for i, x in enumerate(lines) if "ArrowEvalPython" in x)
+    assert any("Join" in x and "response_seq" in x for x in lines[cut:])  # the served ones are chosen below it
+    assert sum("payload:string" in x for x in lines) == 2
+    want = {r["seq"]: r["tool_calls"] for r in toolcalls.attribute_tool_calls(m, e).collect()}
+    assert want and all(json.loads(t) for t in want.values())
+    assert {r["seq"] for r in toolcalls.tool_call_sources(m, e).collect()} == want.keys()
+
+
+def test_a_digest_stands_for_the_log(spark, tmp_path):
+    m, e = stored_log(spark, tmp_path)
+    s = sessions(spark, *[dict(id=f"s{i}", title="T") for i in range(8)])
+    one, each = reports.session_detail(s, m, e), reports.session_detail(s, m, e, keep=False)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for part in ("sessions", "messages", "events"):
+        assert rows(getattr(one, part)) == rows(getattr(each, part))
+    # one read of payloads made the digest; one more cuts the text of calls
+    assert plan(one.sessions).count("payload:string") == 0 and plan(one.messages).count("payload:string") == 1
+    assert plan(each.sessions).count("payload:string") == 1 and plan(each.messages).count("payload:string") > 2
+    assert not {"payload"} & set(digested(e).columns)
