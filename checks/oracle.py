@@ -238,6 +238,10 @@ for _name, _where in {
     "f_title": "interaction_kind = 'chat' AND contains(lower(title), 'stomer#00000001')",
 }.items():
     sql(_name, "sess", f"SELECT id FROM sess WHERE {_where}")
+for _name, _way, _sign in (("f_include_table", "IN", ">"), ("f_exclude_table", "NOT IN", "<")):
+    sql(_name, "", f"""
+        SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders
+        WHERE CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END {_way} (SELECT c_custkey FROM customer WHERE c_acctbal {_sign} 0)""")
 sql("f_time_window", "ev", f"SELECT id, {at('ts')} AS ts FROM ev e WHERE {WINDOW}")
 sql("f_event_type", "ev", "SELECT id FROM ev WHERE event_type = 'llm_error'")
 sql("f_session", "ev", "SELECT id, session_id FROM ev WHERE session_id = '7'")
@@ -464,6 +468,12 @@ sql("debug_replay", "debug", f"""
         n > 20 AS has_more
     FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ts, id) AS pos,
         COUNT(*) OVER (PARTITION BY session_id) AS n FROM debug) WHERE pos <= 20""")
+sql("tail_events_whole", "ev positions", """
+    SELECT session_id, ROW_NUMBER() OVER (PARTITION BY e.session_id ORDER BY e.seq) AS pos, seq, id, false AS has_more
+    FROM ev e JOIN positions p USING (session_id) WHERE e.seq > p.since_seq""")
+sql("debug_replay_whole", "debug", """
+    SELECT session_id, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ts, id) AS pos, id, direction,
+        md5(body) AS body_md5, false AS has_more FROM debug""")
 sql("debug_pairs", "debug", """
     SELECT session_id, id AS response_id, CASE WHEN before_direction = 'request' THEN before_id END AS request_id FROM (
         SELECT *, LAG(id) OVER w AS before_id, LAG(direction) OVER w AS before_direction

@@ -122,6 +122,28 @@ _session_filter("f_entity", entity_id="7")
 _session_filter("f_group", group_id="BUILDING")
 _session_filter("f_include", include_entity_ids=" 1, 2,,3 ,5")
 _session_filter("f_exclude", exclude_entity_ids="1,2,3", entity_id="", group_id="BUILDING")
+
+
+def _entities_by_table(b, sign):
+    """Orders as sessions, one in ten without an entity, and a table of customers with a NULL and a repeat."""
+    s = b.star_sessions.withColumn("entity_id", F.when(F.col("id").cast("long") % 10 != 0, F.col("entity_id")))
+    ids = b.table("customer").where(F.col("c_acctbal") * sign > 0).select(F.col("c_custkey").cast("string").alias("entity_id"))
+    none = b.spark.range(1).select(F.lit(None).cast("string").alias("entity_id"))
+    return s, ids.unionByName(ids).unionByName(none)
+
+
+@query
+def f_include_table(b):
+    s, ids = _entities_by_table(b, 1)
+    return scope.sessions_in(s, Scope(include_entities=ids)).select("id")
+
+
+@query
+def f_exclude_table(b):
+    s, ids = _entities_by_table(b, -1)
+    return scope.sessions_in(s, Scope(exclude_entities=ids)).select("id")
+
+
 _session_filter("f_kind", kind=" system ")
 _session_filter("f_system_source", system_source="csv_mapping")
 _session_filter("f_opened_by", opened_by="welcome")
@@ -517,6 +539,17 @@ def debug_replay(b):
         "session_id", "pos", "id", "trace_id", "ts", "direction", "status", "url", F.md5("body").alias("body_md5"), "has_more")
 
 
+@query
+def tail_events_whole(b):
+    return events.tail(b.events, _positions(b), None, include_payload=False).select("session_id", "pos", "seq", "id", "has_more")
+
+
+@query
+def debug_replay_whole(b):
+    return replay.debug_replay(b.debug_events, None).select(
+        "session_id", "pos", "id", "direction", F.md5("body").alias("body_md5"), "has_more")
+
+
 @query
 def debug_pairs(b):
     return replay.debug_pairs(b.debug_events)

@@ -12,6 +12,7 @@ from sessionlake.functions.payload import MONEY, money
 from sessionlake.functions.text import trim
 from sessionlake.functions.times import instant, instant_literal
 from sessionlake.operators.ordered import running
+from sessionlake.operators.stats import MONEY_SUM
 from sessionlake.sources.schema import require_columns
 from sessionlake.vocabulary import DEFAULT_BUDGET_KIND
 
@@ -64,6 +65,19 @@ def budget_of(usage: DataFrame, group_id: str, since: str | datetime, kinds: str
     )
 
 
+def usage_by_day(usage: DataFrame, starts: DataFrame) -> DataFrame:
+    """Usage (group_id, entity_id, kind, at, price) of the groups and kinds that have a rule, summed by
+    day, and by exact time on the days in which a rule of the group and kind starts (`starts`)."""
+    day = F.date_trunc("day", F.col("at"))
+    exact = starts.select("group_id", "kind", day.alias("day"), F.lit(True).alias("exact")).distinct()
+    return (
+        usage.join(starts.select("group_id", "kind").distinct(), ["group_id", "kind"], "left_semi")
+        .withColumn("day", day).join(exact, ["group_id", "kind", "day"], "left")
+        .groupBy("group_id", "entity_id", "kind", F.when(F.col("exact"), F.col("at")).otherwise(F.col("day")).alias("at"))
+        .agg(F.sum("price").alias("price"))
+    )
+
+
 def budget_usage(usage: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataFrame:
     """Evaluate many rules at once.
 
@@ -71,8 +85,11 @@ def budget_usage(usage: DataFrame, rules: DataFrame, ranges: int | None = None)
     (array, empty for chat), since, max_price. Usage and rule starts are put on
     one time line per group, entity and kind, and summed from its end: the sum
     at a rule's start is what the rule has used. No rule meets a usage row, so
-    many rules on a busy group cost no more than their own rows. Usage before
-    the earliest rule is not read, and only lines that have a rule are kept.
+    many rules on a busy group cost no more than their own rows.
+
+    Usage before the earliest rule is not read, and of the rest only groups and kinds that
+    have a rule are summed: by day, and by exact time on the days in which a rule of the group and
+    kind starts. So what moves is days, not runs.
     """
     kinds = F.when(F.size("kinds") > 0, F.array_distinct("kinds")).otherwise(F.array(F.lit(DEFAULT_BUDGET_KIND)))
     line = ["group_id", "whole_group", "entity", "kind"]
@@ -82,23 +99,22 @@ def budget_usage(usage: DataFrame, rules: DataFrame, ranges: int | None = None)
     )
     # one value; a constant, so that it reaches the scan
     earliest = starts.agg(F.unix_micros(F.min("at"))).first()[0]
-    recent = _priced(usage)
+    recent = _priced(usage).select(
+        "group_id", "entity_id", F.col("interaction_kind").alias("kind"), F.col("created_at").alias("at"), "price")
     if earliest is not None:
-        recent = recent.where(F.col("created_at") >= F.timestamp_micros(F.lit(earliest)))
+        recent = recent.where(F.col("at") >= F.timestamp_micros(F.lit(earliest)))
+    by_day = usage_by_day(recent, starts)
     spent = (
         # once for the rules of the entity, once for those of its group
-        recent.withColumn("whole_group", F.explode(F.array(F.lit(False), F.lit(True))))
-        .groupBy(
-            "group_id", "whole_group", F.when(F.col("whole_group"), "").otherwise(F.col("entity_id")).alias("entity"),
-            F.col("interaction_kind").alias("kind"), F.col("created_at").alias("at"),
-        )
-        .agg(F.sum("price").alias("price"))
+        by_day.withColumn("whole_group", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("entity", F.when(F.col("whole_group"), "").otherwise(F.col("entity_id")))
         .join(starts.select(*line).distinct(), line, "left_semi")
+        .groupBy(*line, "at").agg(F.sum("price").cast(MONEY_SUM).alias("price"))
         .withColumn("is_usage", F.lit(1))
     )
     both = spent.unionByName(starts, allowMissingColumns=True)
     # from the latest on; usage at the very time a rule starts is before it here, so it counts
-    summed = running(both, line, ["at", "is_usage", "rule_id"], sums={"used": F.coalesce("price", F.lit(0).cast(MONEY))},
+    summed = running(both, line, ["at", "is_usage", "rule_id"], sums={"used": F.coalesce("price", F.lit(0).cast(MONEY_SUM))},
                      descending=True, ranges=ranges)
     used = summed.where(F.col("is_usage") == 0).groupBy("rule_id").agg(F.sum("used").alias("used"))
     return rules.join(used, "rule_id").select(

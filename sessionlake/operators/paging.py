@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -76,11 +77,14 @@ def after_key(key: Column, row_id: Column, value: Column, last_id: Column, direc
 
 def first_of_each(df: DataFrame, group: str, order: list[str], n: int | None) -> DataFrame:
     """Each group's first n rows, all with n None: `pos`, and `has_more` on every
-    row of a group that goes on. Each task keeps n + 1 before the shuffle; whole
-    groups are numbered through ranges of their order, never in one task."""
+    row of a group that goes on. Each task keeps n + 1 before the shuffle. Whole
+    groups are numbered through ranges of their order, never in one task: only the keys are
+    ordered, and the rows meet their places by the whole key, so a long group spreads over the tasks."""
     if n is None:
-        whole = numbered(df, [group], order)
-        return whole.withColumns({"pos": F.col("pos").cast("int"), "has_more": F.lit(False)})
+        key = [group, *order]
+        place = numbered(df.select(*key), [group], order).select(*[F.col(c).alias(f"_{c}") for c in key], "pos")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+        return df.join(place, same).select(*df.columns, F.col("pos").cast("int").alias("pos"), F.lit(False).alias("has_more"))
     place = Window.partitionBy(group).orderBy(*order)
     placed = df.withColumn("pos", F.row_number().over(place))
     some = placed.where(F.col("pos") <= n + 1)

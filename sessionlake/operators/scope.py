@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.functions.text import search_term, title_contains, trim
+from sessionlake.functions.text import search_term, title_contains, trim, trimmed
 from sessionlake.functions.times import instant, instant_literal
 from sessionlake.vocabulary import MAX_ENTITY_IDS
 
@@ -30,6 +30,10 @@ class Scope:
 
     A time window [since, until) is always one on events, never on the time a
     session was created.
+
+    A list of entity ids holds up to 200; `include_entities` and `exclude_entities` are tables of
+    any number of ids, in a column entity_id. A table filters also when it is empty: then no
+    entity is included, or none is excluded.
     """
 
     entity_id: str = ""
@@ -44,6 +48,8 @@ class Scope:
     until: str | datetime | None = None
     event_type: str = ""
     session_id: str = ""
+    include_entities: DataFrame | None = field(default=None, compare=False)
+    exclude_entities: DataFrame | None = field(default=None, compare=False)
 
     def __post_init__(self):
         def put(name, value):
@@ -92,7 +98,8 @@ class Scope:
 
     @property
     def filters_sessions(self) -> bool:
-        return bool(self.session_conditions())
+        tables = self.include_entities is not None or self.exclude_entities is not None
+        return tables or bool(self.session_conditions())
 
     @property
     def filters_events(self) -> bool:
@@ -106,8 +113,23 @@ def _where(df: DataFrame, conditions: list[Column]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
+def _ids(table: DataFrame) -> DataFrame:
+    """The distinct ids of a table, trimmed and without blanks, like those of a list."""
+    return table.select(trimmed(F.col("entity_id").cast("string")).alias("entity_id")).where("entity_id <> ''").distinct()
+
+
 def sessions_in(sessions: DataFrame, scope: Scope) -> DataFrame:
-    return _where(sessions, scope.session_conditions())
+    """The sessions under the session filters. Tables of ids are joined, each id once, so that a
+    session is not multiplied; Spark broadcasts them while they are small."""
+    found = _where(sessions, scope.session_conditions())
+    if scope.include_entities is not None:
+        found = found.join(_ids(scope.include_entities), "entity_id", "left_semi").select(*sessions.columns)
+    if scope.exclude_entities is not None:
+        ids = _ids(scope.exclude_entities)
+        # NOT IN is unknown for a session without an entity, but nothing is unknown of no ids
+        empty = ids.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
+        found = found.where(F.col("entity_id").isNotNull() | empty).join(ids, "entity_id", "left_anti").select(*sessions.columns)
+    return found
 
 
 def events_in(events: DataFrame, scope: Scope) -> DataFrame:

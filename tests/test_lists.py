@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.times import instant, instant_literal
 from sessionlake.operators import budget, events as ev, export, paging, prompts, rename, replay, stats
-from sessionlake.operators.scope import ALL, Scope
+from sessionlake.operators.scope import ALL, Scope, sessions_in
 from sessionlake.plans import reports
 from sessionlake.sources.schema import MissingColumns
+from sessionlake.workspace import written
 from tests.tables import by, column, events, response, sessions, table
 
 
@@ -312,6 +313,47 @@ def test_budget_rules_match_single_balances(spark, ranges):
         assert float(got[rule_id]["price_total"]) == want and got[rule_id]["is_used_up"] == (want >= limit)
 
 
+def test_usage_is_summed_by_day_but_where_a_rule_starts(spark):
+    usage = spark.range(20_000).select(
+        F.when(F.col("id") % 10 == 0, "other").otherwise("g").alias("group_id"), F.lit("e").alias("entity_id"),
+        F.lit("chat").alias("kind"), F.timestamp_seconds(1735689600 + F.col("id") * 300).alias("at"), F.lit(1).alias("price"))
+    starts = spark.createDataFrame([("g", "chat", "2025-01-20 12:07:00"), ("h", "chat", "2025-01-02 00:00:00")],
+                                   "group_id string, kind string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    days = budget.usage_by_day(usage, starts).collect()
+    assert sum(r["price"] for r in days) == 18_000 and {r["group_id"] for r in days} == {"g"}
+    exact = [r for r in days if r["at"].date().isoformat() == "2025-01-20"]
+    assert len(exact) == 288 - 28 or len(exact) == 288 - 29
+    assert len(days) - len(exact) == 20_000 * 300 // 86400  # the other days, one row each
+
+
+def test_tables_of_entity_ids(spark):
+    s = sessions(spark, *[dict(id=f"s{i}", entity_id=None if i % 5 == 0 else f"e{i}") for i in range(600)])
+    ids = spark.createDataFrame([(f" e{i}\n",) for i in range(0, 600, 2)] * 2 + [(None,), ("",)], "entity_id string")
+    none = ids.limit(0)
+    kept = lambda **f: set(column(sessions_in(s, Scope(**f)), "id"))
+    everything = {f"s{i}" for i in range(600)}
+    assert kept(include_entities=ids) == {f"s{i}" for i in range(0, 600, 2) if i % 5}
+    assert kept(exclude_entities=ids) == {f"s{i}" for i in range(1, 600, 2) if i % 5}
+    assert kept(include_entities=none) == set() and kept(exclude_entities=none) == everything
+    assert kept(include_entities=ids, exclude_entities=ids) == set()
+    assert sessions_in(s, Scope(include_entities=ids)).columns == s.columns
+    log = events(spark, *[dict(id=f"x{i}", session_id=f"s{i}", seq=1) for i in range(600)])
+    scope = Scope(exclude_entities=ids)
+    assert scope.filters_sessions and len(column(ev.events_scoped(log, s, scope), "id")) == 240
+    few = spark.createDataFrame([("e1",), ("e2",), ("e3",)], "entity_id string")
+    assert kept(include_entities=few) == kept(include_entity_ids="e1,e2,e3")
+    assert kept(exclude_entities=few) == kept(exclude_entity_ids="e1,e2,e3")
+
+
+def test_only_keys_are_written_to_number_whole_sessions(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("sessionlake.operators.ordered.written", lambda df, *a: (seen.append(df.columns), written(df, *a))[1])
+    log = table(spark, "ai_debug_events", [dict(id=f"d{i}", session_id=f"s{i % 3}", body="x" * i) for i in range(50)])
+    rows = replay.debug_replay(log.unionByName(log.limit(1).withColumn("session_id", F.lit(None).cast("string"))), None).collect()
+    assert len(rows) == 51 and all(len(r["body"]) == int(r["id"][1:]) for r in rows)
+    assert seen and not any("body" in c for columns in seen for c in columns)
+
+
 def test_renames(spark):
     s = sessions(spark, dict(id="a", title="old"), dict(id="b", title="keep"), dict(id="c"))
     renames = spark.createDataFrame(
