@@ -116,6 +116,10 @@ def _compared(rows: pd.DataFrame, queries: pd.DataFrame, dim: int, k: int) -> pd
             np.multiply(q[j][:, None], r[j][None], out=part)
             score += part
         score[asked[:, None] == ids[None]] = -np.inf
+        # an id counts once, with its best score, before any is cut
+        begins = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        if len(begins) < len(ids):
+            ids, score = ids[begins], np.maximum.reduceat(score, begins, axis=1)
         if len(ids) > k:  # what is below the k-th score is out
             kth = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
             score[score < kth[:, None]] = -np.inf
@@ -181,7 +185,8 @@ def nearest(
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(t * per_tree + tree.leaves(lifted)), ids, binary], names=["leaf", "vec_id", "v"])
 
-    index = written(rows.mapInArrow(filed, "leaf long, vec_id long, v binary"), "index")
+    # rows that repeat are filed once, so that a leaf's size is that of its different rows
+    index = written(rows.distinct().mapInArrow(filed, "leaf long, vec_id long, v binary"), "index")
     held = index.groupBy("leaf").count().toPandas()  # a row per leaf of the forest
     sizes = np.zeros(trees * per_tree, dtype=np.int64)
     sizes[held["leaf"]] = held["count"]
@@ -246,10 +251,13 @@ def _needed(rows: DataFrame, asked: DataFrame, forest: list[Tree], sizes: np.nda
         for batch in batches:
             for at in range(0, batch.num_rows, 8 * BLOCK):
                 part = batch.slice(at, 8 * BLOCK)
-                own, v = part.column(0).to_numpy(), np.stack(part.column(1).to_pylist())
+                order = np.argsort(part.column(0).to_numpy(), kind="stable")
+                own, v = part.column(0).to_numpy()[order], np.stack(part.column(1).to_pylist())[order]
                 score = np.where(ids[:, None] == own[None], -np.inf, q @ v.T)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                asker, found = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
+                # different ids: k of them, each with all its rows that score as the k-th one's best does
+                of_id = np.maximum.reduceat(score, np.flatnonzero(np.append(True, own[1:] != own[:-1])), axis=1)
+                kth = -np.sort(-of_id, axis=1)[:, min(k, of_id.shape[1]) - 1]
+                asker, found = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(asker), pa.array(own[found]), pa.array(score[asker, found]),
                     pa.array([v[i].tobytes() for i in found], pa.binary())], names=["asker", "vec_id", "score", "v"])

@@ -30,6 +30,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df in one value, out of the way of columns that are added."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drawn(key: str, rows: Column, sample: int) -> Column:
     """Whether a row is among the about `sample` ones drawn from `rows` rows, by a hash of its key."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30) < F.lit(float(sample)) / rows

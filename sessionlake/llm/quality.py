@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.columns import SPACE, let, words
+from sessionlake.llm.columns import SPACE, fresh, let, words
 
 #: Common function words. A text of connected prose has some of its language's.
 STOP_WORDS = (
@@ -99,8 +99,9 @@ def judged(docs: DataFrame, rules: tuple = RULES, text_col: str = "text") -> Dat
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     names = ("n_words", "word_chars", "n_symbols", "n_exclaims", "n_repeat_words", "n_stop_words")
-    m = docs.withColumn("_m", _measures(text))
-    m = m.withColumns({n: F.col(f"_m.{n}") for n in names} | {
-        n: F.col(f"_m.lines.{n}") for n in ("n_lines", "n_dup_lines")}).drop("_m")
+    of = fresh(docs, "_m")
+    m = docs.withColumn(of, _measures(text))
+    m = m.withColumns({n: F.col(f"{of}.{n}") for n in names} | {
+        n: F.col(f"{of}.lines.{n}") for n in ("n_lines", "n_dup_lines")}).drop(of)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))

@@ -98,6 +98,33 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("times", [1, 30])
+def test_repeated_ids_take_one_place(spark, times):
+    """One id 40 times with different vectors, and every row `times` times: with a budget for all rows
+    the result is that of all pairs, an id once with its best score."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).astype(np.float32)) for i in range(200)]
+    rows += [(777, rows[3][1] + rng.normal(size=8).astype(np.float32) / 50) for _ in range(40)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows for _ in range(times)], "vec_id long, embedding array<float>")
+    asked = [i for i in range(0, 200, 20)]
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20, budget=ann.TREES * len(rows) * times).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for q in asked:
+        best = {}
+        for i, x in rows:
+            if i != q:
+                score = 0.0
+                for a, b in zip(rows[q][1].astype(float), x.astype(float)):
+                    score += a * b
+                best[i] = max(score, best.get(i, score))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        assert [got[q][k + 1] for k in range(20)] == want
+    found = [tuple(r) for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20).collect()]
+    hits = sum((q, *got[q][k]) in {(f[0], f[2], f[3]) for f in found} for q in asked for k in got[q])
+    assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     table = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [3.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, inf]),
