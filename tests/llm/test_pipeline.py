@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sessionlake.llm.columns import vocabulary
@@ -97,5 +98,20 @@ def test_nulls_repeats_and_empty_tables(spark, docs):
     assert corpus_pipeline.pack_sequences(spark, df, FOLDER).where("doc_id = 1 and start = 0").count() == 2
 
 
-def test_check_packing_is_shared():
-    assert callable(check_packing)
+CLASHES = ("row", "_m", "n_words", "kept", "hash", "_hash", "_n", "n", "key", "_key", "copies", "copy", "pii_spans", "told", "id", "t",
+           "component_id", "label", "band", "candidates", "doc id", "size", "place", "src")
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_clashing_columns_pass_through(spark, docs, at):
+    """Columns named as any that a stage adds, a tie, a long text and a repeated row."""
+    good = "The end of it and that is for you to say, " + next(family(3, 1, words=90))
+    rows = [(1, good, None, "a"), (1, good, None, "a"), (2, "der die und " + good[40:] * 300, None, "b"), (3, good + " a@b.cd", None, None)]
+    plain = docs(rows)
+    wide = plain.select("*", *[F.concat(F.lit(c), F.coalesce("source", F.lit("-"))).alias(c) for c in CLASHES])
+    _, stage = corpus_pipeline.STAGES[at]
+    got = stage(spark, wide, FOLDER)
+    assert got.columns == wide.columns
+    out = got.collect()
+    assert Counter(tuple(r)[:5] for r in out) == Counter(map(tuple, stage(spark, plain, FOLDER).collect()))
+    assert out and all(r[c] == c + (r["source"] or "-") for r in out for c in CLASHES)
