@@ -62,8 +62,12 @@ def running(
     twins = _twins(df, group)
     same = list(twins)
     rows = written(df.withColumns(twins))
-    cut = rows.repartitionByRange(ranges or ranges_for(rows.count()), *map(F.col, same), *placed)
-    cut = written(cut.withColumn("_range", F.spark_partition_id()))
+    ranges = ranges or ranges_for(rows.count())
+    if ranges == 1:  # nothing to cut, nothing to carry
+        cut = rows.withColumn("_range", F.lit(0))
+    else:
+        cut = rows.repartitionByRange(ranges, *map(F.col, same), *placed)
+        cut = written(cut.withColumn("_range", F.spark_partition_id()))
 
     within = Window.partitionBy(*same, "_range").orderBy(*placed)
     so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -88,7 +92,11 @@ def running(
     # before it: at most one row per range, whatever the size of the data. Spark
     # broadcasts it while it is small; beyond that the join keeps the window's
     # partitioning and does not move the rows again.
-    out = local.join(carried, [*same, "_range"], "left")
+    if ranges == 1:
+        kinds = dict(carried.dtypes)
+        out = local.withColumns({c: F.lit(None).cast(kinds[c]) for c in carried.columns if c not in (*same, "_range")})
+    else:
+        out = local.join(carried, [*same, "_range"], "left")
 
     def total(n: str) -> Column:
         zero = F.lit(0).cast(dict(out.dtypes)[n])
