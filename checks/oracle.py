@@ -363,6 +363,10 @@ for _g in ("day", "week", "month", "year"):
 sql("stats_rollup_day", "sess ev", f"""
     SELECT {DAY.format('day')} AS bucket, CAST(0 AS BIGINT) AS is_total, {COUNTS}, {STATS} {INNER} WHERE {WINDOW} GROUP BY 1
     UNION ALL SELECT NULL, 1, {COUNTS}, {STATS} {INNER} WHERE {WINDOW}""")
+sql("rollup_buckets_week", "sess ev", f"SELECT {DAY.format('week')} AS bucket, {COUNTS}, {STATS} {INNER} WHERE {GROUP} GROUP BY 1")
+sql("rollup_totals_day", "sess ev", f"""
+    SELECT {DAY.format('day')} AS bucket, CAST(0 AS BIGINT) AS is_total, {COUNTS}, {STATS} {INNER} GROUP BY 1
+    UNION ALL SELECT NULL, 1, {COUNTS}, {STATS} {INNER}""")
 SINCE = "TIMESTAMP '1997-06-01'"
 sql("budget_total", "usage", f"""
     SELECT group_id, CAST(SUM(price) AS DOUBLE) AS price_total FROM usage
