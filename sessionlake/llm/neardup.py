@@ -11,9 +11,11 @@
    sizes, the joint likelihood of a similarity. A pair goes on unless the wanted
    similarity is out of the question (`DOUBT`).
 5. The pair is confirmed on full sets, and links are joined to components.
-6. Of the classes that were compared with one hub, those that do not lie in its
-   component are compared with all others of them, exactly, in blocks of bounded size. So no
-   link is lost to step 3, and no pairs are written but links.
+6. Classes that do not lie in the component of their band's hub take a hub among themselves,
+   as long as that finds links (`WORTH`).
+7. Bands then still hold classes of several components. Those meet once more by their rarest
+   shingles, which no pair of the wanted similarity can miss (`_across`), and go through 4 and 5.
+   So no link is lost to step 3, and texts that share a form but no rare words never meet.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,10 @@ BAND = 4
 BASE, RATE, Q = 1.001, 20.0, 65534
 #: Nats by which the wanted similarity may be less likely than the best one: six standard deviations.
 DOUBT = 18.0
-REST_BLOCK, MEMBER_BLOCK = 256, 1024
+#: The star step is repeated while at least one in so many of its pairs is a link.
+WORTH = 8
+#: Counters in each of two rows that put shingles in order: 8 MB for each task.
+COUNTERS = 1 << 20
 
 _seeds = mix(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _seeds[:M], _seeds[M:] | np.uint64(1)
@@ -131,51 +135,81 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     return shared.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("u", "v")
 
 
-def _compared(rest: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the rows of two blocks with different labels, one for each row of
-    `rest` and label. Shared shingles are counted by looking each up among the members'."""
-    u, v = [], []
-    if len(rest) and len(members):
-        sizes = members["s"].map(len).to_numpy()
-        owner = np.repeat(np.arange(len(members)), sizes)
-        tokens = np.concatenate(members["s"].to_numpy())
-        order = np.argsort(tokens, kind="stable")
-        owner, tokens = owner[order], tokens[order]
-        labels, ids = members["label"].to_numpy(), members["id"].to_numpy()
-        for x, label, own in zip(rest["id"], rest["label"], rest["s"]):
-            begin, end = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
-            n = end - begin
-            at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            shared = np.bincount(owner[at], minlength=len(members))
-            linked = (100 * shared >= percent * (sizes + len(own) - shared)) & (labels != label)
-            near = np.flatnonzero(linked)
-            near = near[np.unique(labels[near], return_index=True)[1]]
-            u += [x] * len(near)
-            v += ids[near].tolist()
-    return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+def _starred(hits: DataFrame) -> DataFrame:
+    """Each class (id, band, size, central) with the hub of its band; hubs themselves have no row."""
+    hub = hits.groupBy("band").agg(F.max(F.struct("central", (-F.col("id")).alias("negative"))).alias("h")).select(
+        "band", (-F.col("h.negative")).alias("hub"))
+    return written(hits.join(hub, "band").where("id <> hub"), "hubs")
+
+
+def _labelled(star: DataFrame, found: DataFrame) -> DataFrame:
+    """With the component of a class (label) and of its hub (main)."""
+    label = found.select(F.col("node").alias("id"), "label")
+    main = found.select(F.col("node").alias("hub"), F.col("label").alias("main"))
+    rows = star.join(label, "id", "left").join(main, "hub", "left")
+    return rows.withColumns({"label": F.coalesce("label", "id"), "main": F.coalesce("main", "hub")})
+
+
+def _counters(tokens: np.ndarray) -> list[np.ndarray]:
+    """Each token's place in two rows of counters."""
+    return [(mix(tokens ^ c) % np.uint64(COUNTERS)).astype(np.int64) + i * COUNTERS for i, c in enumerate(_XOR[2:4])]
+
+
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a batch, and the number in each row."""
+    lists = batch.column(batch.schema.get_field_index("s"))
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(2 * COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for at in _counters(_tokens(batch)[0]):
+            total += np.bincount(at, minlength=2 * COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+            tokens, sizes = _tokens(part)
+            sizes = sizes.astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            first, second = _counters(tokens)
+            order = np.lexsort((tokens, np.minimum(counts[first], counts[second]), row))
+            rank = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = rank < (sizes - (percent * sizes + 99) // 100 + 1)[row]
+            row, rank, tokens = row[keep], rank[keep], tokens[order][keep]
+            own = part.select(["id", "label", "rest"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens.view(np.int64)), *own.columns, pa.array(sizes[row]), pa.array(rank)],
+                names=["token", "id", "label", "rest", "n", "rank"])
 
 
 def _across(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components, within the families (hub, id, label, main) of classes that
-    were all compared with one hub: those that are not in its component against all,
-    exactly, in blocks. Only links leave the blocks."""
-    spread = family.groupBy("hub").agg(
-        F.count_if(F.col("label") != F.col("main")).alias("n_rest"), F.count(F.lit(1)).alias("n")).where("n_rest > 0 and n > 1")
-    grid = written(spread.select(
-        "hub", F.ceil(F.col("n_rest") / REST_BLOCK).alias("rest_blocks"), F.ceil(F.col("n") / MEMBER_BLOCK).alias("member_blocks")), "grid")
-    family = family.join(grid, "hub")
-
-    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        """One copy of each row in its own block for every block of the other side."""
-        placed = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}s"))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)))
-        placed = placed.select("hub", "rest_block", "member_block", "id", "label").join(sets, "id")
-        return placed.select(*[F.col(c).alias(c) for c in placed.columns])  # new columns for each side
-
-    cell = ["hub", "rest_block", "member_block"]
-    rest = dealt(family.where("label <> main"), "rest_block", "member_block").groupBy(*cell)
-    members = dealt(family, "member_block", "rest_block").groupBy(*cell)
-    return rest.cogroup(members).applyInPandas(lambda r, m: _compared(r, m, percent), "u long, v long")
+    """Pairs (u, v) of different labels that may be links: rows of `family` (id, label, rest)
+    that are `rest` against all.
+
+    Shingles stand in one order for all sets, rarest first. Sets of a similarity of percent/100
+    share one of the first n - ceil(n * percent / 100) + 1, so only those are joined, and the first
+    that two sets share leaves room for the shingles still wanted. Any fixed order finds every link;
+    the order by counters, of which there are two rows of `COUNTERS` whatever the input, keeps
+    text that many classes share out of the join.
+    """
+    rows = written(family.join(sets, "id"), "rest")
+    schema = "token long, id long, label long, rest boolean, n long, rank long"
+    tallies = rows.select("s").mapInArrow(_tallies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(2 * COUNTERS, dtype=np.uint32)
+    counts[tallies["at"]] = np.minimum(tallies["n"], 2**32 - 1)
+    first = written(rows.mapInArrow(lambda b: _prefixes(b, counts, percent), schema), "prefixes")
+    a, b = first.where("rest").alias("a"), first.alias("b")
+    least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    room = F.least(F.col("a.n") - F.col("a.rank"), F.col("b.n") - F.col("b.rank"))
+    near = a.join(b, F.col("a.token") == F.col("b.token")).where(
+        (F.col("a.label") != F.col("b.label")) & (100 * least >= percent * most)
+        & ((100 + percent) * room >= percent * (least + most)))
+    return near.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
 
 
 def near_duplicates(
@@ -215,23 +249,29 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     hits = written(bands.join(meet, "band"), "hits")
     # the class that meets most others is the least changed one of a family, so most of them link to it
     central = hits.groupBy("id").agg(F.sum("size").alias("central"))
-    hub = hits.join(central, "id").groupBy("band").agg(
-        F.max(F.struct("central", (-F.col("id")).alias("negative"))).alias("h")).select(
-        "band", (-F.col("h.negative")).alias("hub"))
-    hits = written(hits.join(hub, "band"), "hubs")
+    left = hits = written(hits.join(central, "id"), "central")
     # the only time that texts move
     sets = written(texts.join(hits.select("id").distinct(), "id", "left_semi").mapInArrow(
         lambda b: _sets(b, width), "id long, s array<long>"), "sets")
-    star = hits.where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
-    links = written(_links(star, nodes, sets, percent), "near")
-    found = components(links)
-
-    label = found.withColumnRenamed("node", "id")
-    main = found.select(F.col("node").alias("hub"), F.col("label").alias("main"))
-    family = hits.where("size > 2 and id <> hub").select("hub", "id").distinct().join(label, "id", "left").join(main, "hub", "left")
-    family = written(family.select(
-        "hub", "id", F.coalesce("label", "id").alias("label"), F.coalesce("main", "hub").alias("main")), "family")
-    links = written(links.unionByName(_across(family, sets, percent)), "near")
+    links = stars = None
+    while True:
+        star = _starred(left)
+        pairs = written(star.select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct(), "star")
+        fresh = written(_links(pairs, nodes, sets, percent), "near")
+        links = fresh if links is None else links.unionByName(fresh)
+        stars = star if stars is None else stars
+        found = components(links)
+        n_links, n_pairs = fresh.count(), pairs.count()
+        if WORTH * n_links < n_pairs or n_links == n_pairs:
+            break
+        left = written(_labelled(star, found).where("size > 2 and label <> main").select("id", "band", "size", "central"), "left")
+
+    family = _labelled(stars, found).where("size > 2")
+    mixed = family.where("label <> main").select("band").distinct()
+    hub = family.select("band", F.col("hub").alias("id"), F.col("main").alias("label"), F.lit(False).alias("rest"))
+    family = family.select("band", "id", "label", (F.col("label") != F.col("main")).alias("rest")).unionByName(hub.distinct())
+    family = family.join(mixed, "band", "left_semi").groupBy("id").agg(F.min("label").alias("label"), F.max("rest").alias("rest"))
+    links = links.unionByName(written(_links(_across(family, sets, percent), nodes, sets, percent), "near"))
     found = components(links)
 
     grouped = member.join(found.withColumnRenamed("node", "class"), "class", "left").select(
