@@ -4,7 +4,6 @@ import random
 
 import pytest
 
-from sessionlake.llm import neardup
 from sessionlake.llm.components import components
 from sessionlake.llm.neardup import near_duplicates
 from sessionlake.llm.shingles import PIECE_BYTES, shingle_sets, word_hashes
@@ -83,48 +82,3 @@ def test_components_of_paths_stars_and_loops(spark, rows):
     got = dict(rows(components(spark.createDataFrame(links, "u long, v long"))))
     assert got == {i + 1: 0 for i in range(40)} | {101 + i: 100 for i in range(50)} | {201: 200}
     assert rows(components(spark.createDataFrame([], "u long, v long"))) == []
-
-
-def letters(size, shared=75, own=45, seed=3):
-    """Texts on one form: the same words in front, behind them words of each text's own."""
-    rng = random.Random(seed)
-    form = " ".join(f"f{i}" for i in range(shared))
-    return [form + " " + " ".join(f"x{rng.randrange(10**9)}" for _ in range(own)) for _ in range(size)]
-
-
-def test_letters_on_one_form_are_hardly_compared(docs, monkeypatch):
-    met = []
-    whole = neardup._across
-    monkeypatch.setattr(neardup, "_across", lambda *a: met.append(whole(*a).cache()) or met[-1])
-    sizes = (200, 400)
-    for size in sizes:
-        texts = letters(size)
-        texts += [t.rsplit(" ", 2)[0] + " y z" for t in texts[::20]]
-        table = list(enumerate(texts))
-        got = near_duplicates(docs(table), width=2)
-        groups = {r.doc_id: r.component_id for r in got.collect()}
-        assert groups == {i: i if i < size else (i - size) * 20 for i in range(len(texts))}
-    few, many = (m.count() for m in met)
-    assert many <= 2 * max(few, 10)
-
-
-def test_links_that_no_hub_shows(docs):
-    # two sets of copies on one form: the hub of a band lies in one of them at most
-    base = letters(2, shared=80, own=40)
-    texts = [" ".join(t.split(" ")[:-k] + [f"z{j}{k}{i}" for i in range(k)]) for j, t in enumerate(base) for k in range(1, 8)]
-    table = list(enumerate(texts + letters(30, shared=80, own=40, seed=8)))
-    got = near_duplicates(docs(table), width=2).select("doc_id", "n_shingles", "component_id", "kept")
-    assert {tuple(r) for r in got.collect()} == brute(table, 2, 80)
-
-
-@pytest.mark.parametrize("percent", [50, 80, 95])
-def test_rarest_shingles_meet_all_links(spark, percent):
-    rng = random.Random(percent)
-    sets = [set(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(30)]
-    sets += [set(list(s)[rng.randrange(3):]) | {rng.randrange(60)} for s in sets for _ in range(2)]
-    family = spark.createDataFrame([(i, i, i % 2 == 0) for i in range(len(sets))], "id long, label long, rest boolean")
-    table = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, s array<long>")
-    met = {tuple(r) for r in neardup._across(family, table, percent).collect()}
-    links = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
-             if j < i and (i % 2 == 0 or j % 2 == 0) and 100 * len(a & b) >= percent * len(a | b)}
-    assert links and links <= met
